@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from millrace.llm.ring_sharding import op10_ring_sharding
 from millrace.llm.secret_scan import op3_secret_scan
+from millrace.llm.sentencepiece_codec import op2_sentencepiece
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op10_ring_sharding": op10_ring_sharding,
 }
