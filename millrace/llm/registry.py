@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.llm.language_id import op8_language_id
+from millrace.llm.license_scan import op6_license_scan
 from millrace.llm.ring_sharding import op10_ring_sharding
 from millrace.llm.secret_scan import op3_secret_scan
 from millrace.llm.sentencepiece_codec import op2_sentencepiece
@@ -9,6 +11,8 @@ from millrace.llm.sentencepiece_codec import op2_sentencepiece
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
+    "op6_license_scan": op6_license_scan,
+    "op8_language_id": op8_language_id,
     "op10_ring_sharding": op10_ring_sharding,
 }
 
