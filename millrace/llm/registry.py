@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm import decontamination
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.license_scan import op6_license_scan
 from millrace.llm.ring_sharding import op10_ring_sharding
@@ -13,7 +14,10 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op6_license_scan": op6_license_scan,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_ring_sharding": op10_ring_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": decontamination.ORACLE,
+}
