@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm import decontamination
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.license_scan import op6_license_scan
+from millrace.llm.minhash_dedup import op4_minhash_dedup
 from millrace.llm.ring_sharding import op10_ring_sharding
 from millrace.llm.secret_scan import op3_secret_scan
 from millrace.llm.sentencepiece_codec import op2_sentencepiece
@@ -12,6 +13,7 @@ from millrace.llm.sentencepiece_codec import op2_sentencepiece
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op6_license_scan": op6_license_scan,
     "op8_language_id": op8_language_id,
     "op9_decontamination": decontamination.op9_decontamination,
