@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.llm import decontamination
 from millrace.llm.language_id import op8_language_id
+from millrace.llm.lattice_dedup import op1_lattice_dedup
 from millrace.llm.license_scan import op6_license_scan
 from millrace.llm.minhash_dedup import op4_minhash_dedup
 from millrace.llm.ring_sharding import op10_ring_sharding
@@ -11,6 +12,7 @@ from millrace.llm.secret_scan import op3_secret_scan
 from millrace.llm.sentencepiece_codec import op2_sentencepiece
 
 QUERIES = {
+    "op1_lattice_dedup": op1_lattice_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
