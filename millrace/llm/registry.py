@@ -10,12 +10,14 @@ from millrace.llm.minhash_dedup import op4_minhash_dedup
 from millrace.llm.ring_sharding import op10_ring_sharding
 from millrace.llm.secret_scan import op3_secret_scan
 from millrace.llm.sentencepiece_codec import op2_sentencepiece
+from millrace.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op8_language_id": op8_language_id,
     "op9_decontamination": decontamination.op9_decontamination,
