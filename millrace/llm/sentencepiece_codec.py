@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NEVER = np.iinfo(np.int32).max
-INDEX_CHARS = 500_000
-CACHE_WORDS = 400_000
+INDEX_CHARS = 600_000
+CACHE_WORDS = 700_000
 
 
 class Pieces:
@@ -79,7 +80,10 @@ class Pieces:
         joins.sort()
         self.join_key, self.join_rank = np.array([k for k, _ in joins], dtype=np.int64), np.array([r for _, r in joins], dtype=np.int32)
         letters = sorted({c for p in self.pieces for c in p})
-        self.letters = np.array([ord(c) for c in letters], dtype=np.uint32)
+        self.letter = np.zeros(0x110000, dtype=np.int32)  # 0: not in the vocabulary
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.n_letters = len(letters)
+        self.per_key = 62 // (len(letters) + 2).bit_length()  # characters that one sort key holds
         self.width = max(map(len, self.pieces))
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int32)
         self.codes = np.zeros((len(self.pieces), self.width), dtype=np.int32)  # 0: past the end
@@ -133,28 +137,35 @@ def pieces_at(path: str) -> Pieces:
     return Pieces(path)
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of codes in the order of their suffixes, compared to ``depth`` at least."""
-    rank, step = codes.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while step < depth:
-        nxt = np.zeros(len(rank), dtype=np.int64)
-        nxt[:-step] = rank[step:] + 1 if step < len(rank) else 0
-        key = rank * (int(rank.max()) + 3) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(rank), dtype=np.int64)
-        new[order] = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])] if len(key) else key
-        rank, step = new, 2 * step
-    return order
+def suffix_order(codes: np.ndarray, depth: int, at_once: int, bits: int) -> np.ndarray:
+    """Positions of codes in the order of their suffixes, compared to ``depth`` at least.
+
+    The first key packs ``at_once`` codes; after that each sort doubles the depth through the ranks."""
+    n = len(codes)
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(at_once):
+        key <<= bits
+        key[: n - k] |= codes[k:]
+    step = at_once
+    while True:
+        order = np.argsort(key)
+        if step >= depth or n < 2:
+            return order
+        ordered = key[order]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
+        key = rank * (n + 1)
+        key[: max(n - step, 0)] += rank[step:] + 1
+        step *= 2
 
 
 def _occurrences(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, row of piece) of every occurrence of every piece, by position."""
-    order = suffix_order(codes, p.width)
+    """(position, row of piece) of every occurrence of every piece."""
+    order = suffix_order(codes, p.width, p.per_key, 62 // p.per_key).astype(np.int32)
     padded = np.r_[codes, np.zeros(p.width, dtype=codes.dtype)]
     ranges = []
     for upper in (False, True):
-        lo, hi = np.zeros(len(p.pieces), dtype=np.int64), np.full(len(p.pieces), len(order), dtype=np.int64)
+        lo, hi = np.zeros(len(p.pieces), dtype=np.int32), np.full(len(p.pieces), len(order), dtype=np.int32)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
@@ -171,9 +182,8 @@ def _occurrences(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ranges.append(lo)
     count = ranges[1] - ranges[0]
     row = np.repeat(np.arange(len(p.pieces), dtype=np.int32), count)
-    at = order[np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ranges[0], count)]
-    by = np.argsort(at, kind="stable")
-    return at[by], row[by]
+    at = order[np.arange(len(row), dtype=np.int32) + np.repeat(ranges[0] - (np.cumsum(count) - count).astype(np.int32), count)]
+    return at, row
 
 
 def encode_words(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,24 +193,24 @@ def encode_words(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     begin = np.cumsum(size + 1) - size - 1  # a 0 stands after each word
     points = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    at = np.minimum(np.searchsorted(p.letters, points), len(p.letters) - 1)
-    known = p.letters[at] == points
     ends = begin + size
-    known[ends] = False
-    codes = np.where(known, at + 1, len(p.letters) + 1).astype(np.int32)
+    codes = p.letter[points]
+    codes[ends] = 0
+    known = codes > 0
+    codes[~known] = p.n_letters + 1
     pos, row = _occurrences(p, codes)
     foreign = np.ones(len(points), dtype=bool)
     foreign[ends] = False
     foreign = np.flatnonzero(foreign & ~known)
-    start = np.r_[pos, foreign]
-    token = np.r_[p.ids[row], -2 - foreign].astype(np.int64)
-    stop = np.r_[pos + p.lengths[row], foreign + 1]
-    offset = start - np.repeat(begin, size + 1)[start]
-    by = np.argsort(offset, kind="stable")
+    start = np.r_[pos, foreign.astype(np.int32)]
+    token = np.r_[p.ids[row], (-2 - foreign).astype(np.int32)]
+    stop = np.r_[pos + p.lengths[row], (foreign + 1).astype(np.int32)]
+    offset = (start - np.repeat(begin.astype(np.int32), size + 1)[start]).astype(np.uint16 if size.max() < 65536 else np.int32)
+    by = np.argsort(offset, kind="stable")  # edges by their position in the word
     start, token, stop = start[by], token[by], stop[by]
-    cuts = np.searchsorted(offset[by], np.arange(int(size.max()) + 1)) if len(size) else np.zeros(1, int)
-    last = np.full(len(points) + 1, NEVER, dtype=np.int64)  # NEVER: not reached
-    back = np.zeros(len(points) + 1, dtype=np.int64)
+    cuts = np.searchsorted(offset[by], np.arange(int(size.max()) + 1))
+    last = np.full(len(points) + 1, NEVER, dtype=np.int32)  # NEVER: not reached
+    back = np.zeros(len(points) + 1, dtype=np.int32)
     last[begin] = -1
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(start)], strict=True):  # all words at once, by the place in the word
         s, t, e = start[lo:hi], token[lo:hi], stop[lo:hi]
@@ -234,6 +244,15 @@ def encode_words(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes texts through their distinct words; keeps the words' ids for later batches, up to a bound."""
 
+    kept: Encoder | None = None
+
+    @classmethod
+    def of(cls, p: Pieces) -> Encoder:
+        """The encoder of this process: a worker's later tasks go on with the words of its earlier ones."""
+        if cls.kept is None or cls.kept.p is not p:
+            cls.kept = cls(p)
+        return cls.kept
+
     def __init__(self, p: Pieces):
         self.p = p
         self.clear()
@@ -281,7 +300,7 @@ class Encoder:
         self.flat = np.concatenate(flats)
         self.offsets = np.r_[0, np.cumsum(np.concatenate(counts))]
         n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        use = np.fromiter((index[w] for words in split for w in words), dtype=np.int64, count=int(n_words.sum()))
+        use = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n_words.sum()))
         size = self.offsets[use + 1] - self.offsets[use]
         total = np.cumsum(size)
         at = np.arange(int(size.sum())) - np.repeat(total - size - self.offsets[use], size)
@@ -318,9 +337,9 @@ def _map(docs: DataFrame, id_col: str, text_col: str, model: str, columns: str,
     shared = docs.sparkSession.sparkContext.broadcast(p)  # a vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder.of(shared.value)
         for b in batches:
-            for part in _slices(b, 1, 2_000_000):
+            for part in _slices(b, 1, 4_000_000):
                 yield make(encoder, part)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
