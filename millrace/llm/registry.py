@@ -6,6 +6,7 @@ from millrace.llm import decontamination
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.lattice_dedup import op1_lattice_dedup
 from millrace.llm.license_scan import op6_license_scan
+from millrace.llm.maxent_lm import op7_maxent_lm
 from millrace.llm.minhash_dedup import op4_minhash_dedup
 from millrace.llm.ring_sharding import op10_ring_sharding
 from millrace.llm.secret_scan import op3_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_language_id": op8_language_id,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_ring_sharding": op10_ring_sharding,
