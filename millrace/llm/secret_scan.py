@@ -188,5 +188,24 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with the spans of a scan replaced in the text and the length column, if docs
+    has one, counted anew where the text changed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            before = b.column(at).to_pylist()
+            after = [redacted(t, scan(t)) for t in before]
+            b = b.set_column(at, b.schema.field(at), pa.array(after, b.column(at).type))
+            k = b.schema.get_field_index(length_col)
+            if k >= 0:
+                sizes = [n if t is u or t == u else len(u) for n, t, u in zip(b.column(k).to_pylist(), before, after, strict=True)]
+                b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.column(k).type))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
