@@ -47,9 +47,9 @@ TEMPLATES = {
         ["with or without fee is hereby granted"]),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
-    "cc-by-nc": ("licensed under cc by nc 4 0", ["cc by nc"]),
-    "cc-by-sa": ("licensed under cc by sa 4 0", ["cc by sa"]),
-    "cc-by-nd": ("licensed under cc by nd 4 0", ["cc by nd"]),
+    "cc-by-nc": ("cc by nc 4 0", ["cc by nc"]),
+    "cc-by-sa": ("cc by sa 4 0", ["cc by sa"]),
+    "cc-by-nd": ("cc by nd 4 0", ["cc by nd"]),
     "cc0": ("cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     "epl": ("eclipse public license v 2 0", ["eclipse public license"]),
     "boost": ("distributed under the boost software license version 1 0", ["boost software license"]),
