@@ -145,7 +145,7 @@ def suffix_order(codes: np.ndarray, depth: int, at_once: int, bits: int) -> np.n
     key = np.zeros(n, dtype=np.int64)
     for k in range(at_once):
         key <<= bits
-        key[: n - k] |= codes[k:]
+        key[: max(n - k, 0)] |= codes[k:]
     step = at_once
     while True:
         order = np.argsort(key)
