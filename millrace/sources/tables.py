@@ -65,11 +65,11 @@ def sectioned_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark items as questions: query_id and the first sixty characters of the text."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+    """benchmark items as questions: query_id and question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, substr(text, 1, 60) AS question FROM benchmark)"
+QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 
 
 # ---------------------------------------------------------------- quests, characters, zones
@@ -106,10 +106,28 @@ CHARACTERS_SQL = """characters AS (
     CASE WHEN c_nationkey % 2 = 0 THEN 'alliance' ELSE 'horde' END AS faction, c_nationkey AS map_id, c_mktsegment AS class FROM customer)"""
 
 
-def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(char_id, quest_id): the parts each customer has bought."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+def _bought(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders").where(which), table(spark, sf_dir, "lineitem")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("char_id"), (F.col("l_partkey") + 1).alias("quest_id")).distinct()
 
 
-COMPLETED_SQL = "completed AS (SELECT DISTINCT o_custkey AS char_id, l_partkey + 1 AS quest_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(char_id, quest_id): the parts of each customer's closed orders."""
+    return _bought(spark, sf_dir, "o_orderstatus <> 'O'")
+
+
+def in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(char_id, quest_id): the parts of each customer's open orders."""
+    return _bought(spark, sf_dir, "o_orderstatus = 'O'")
+
+
+COMPLETED_SQL = "completed AS (SELECT DISTINCT o_custkey AS char_id, l_partkey + 1 AS quest_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O')"
+IN_PROGRESS_SQL = "in_progress AS (SELECT DISTINCT o_custkey AS char_id, l_partkey + 1 AS quest_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O')"
+
+
+def any_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chain, grp, quest_id): the side quests of each campaign in two groups, of which one quest will do."""
+    return quests(spark, sf_dir).where("quest_type = 5").select(F.col("campaign").alias("chain"), (F.col("quest_id") % 2).alias("grp"), "quest_id")
+
+
+ANY_OF_SQL = "any_of AS (SELECT campaign AS chain, quest_id % 2 AS grp, quest_id FROM quests WHERE quest_type = 5)"
