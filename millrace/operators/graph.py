@@ -43,14 +43,15 @@ def closure(links: DataFrame) -> DataFrame:
         n = m
 
 
-def core(links: DataFrame) -> DataFrame:
-    """The links that lie on cycles or on ways between cycles: others are peeled from both ends."""
+def core(links: DataFrame, rounds: int = 6) -> DataFrame:
+    """links without those that plainly lie on no cycle: both ends are peeled, ``rounds`` times at most, so
+    that a long chain costs no round per link.  Every cycle stays whole."""
     left = settled(links.select("pre", "quest_id").distinct())
     n = left.count()
-    while n:
+    for _ in range(rounds):
         left = left.join(left.select(F.col("quest_id").alias("pre")).distinct(), "pre", "left_semi")
         left = settled(left.join(left.select(F.col("pre").alias("quest_id")).distinct(), "quest_id", "left_semi").select("pre", "quest_id"))
-        if (m := left.count()) == n:
+        if (m := left.count()) == n or not m:
             break
         n = m
     return left

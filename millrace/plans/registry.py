@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import advice, graph, records, relational, retrieval, routing  # noqa: F401
+from millrace.plans import advice, chunks, graph, records, relational, retrieval, routing  # noqa: F401
 from millrace.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
