@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,5 +77,13 @@ def test_numbered(spark, events, tmp_path):
 
 def test_once_within(spark, events, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = drained(spark, ingest.once_within(events[1], 3_600_000), tmp_path, "append").collect()
-    assert sorted(r["user_id"] for r in rows) == [0, 1, 2]
+    stream = ingest.once_within(events[1], 3_600_000)  # timers keep such a query going, so it is stopped from here
+    q = stream.writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if q.exception() or spark.table("once").count() >= 3:
+                break
+    finally:
+        q.stop()
+    assert sorted(r["user_id"] for r in spark.table("once").collect()) == [0, 1, 2]
