@@ -46,7 +46,7 @@ def namespace(category: Column, region: Column) -> Column:
 
 def host(region: Column) -> Column:
     r = F.lower(region)
-    return F.when(r == "cn", "gateway.battlenet.example.cn").otherwise(F.concat(r, F.lit(".api.example.com")))
+    return F.when(r == "cn", "gateway.example.cn").otherwise(F.concat(r, F.lit(".api.example.com")))
 
 
 def entity_slug(region: Column, realm: Column, name: Column) -> Column:

@@ -153,7 +153,7 @@ def x08(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.slug(F.concat(F.lit("The "), F.col("p_name"), F.lit("'s_Hall "))).alias("slug"))
 
 
-@query("x09_namespaces", "SELECT * FROM (VALUES ('EU', 'static-eu', 'eu.api.example.com'), ('cn', 'static-cn', 'gateway.battlenet.example.cn')) v(region, namespace, host)")
+@query("x09_namespaces", "SELECT * FROM (VALUES ('EU', 'static-eu', 'eu.api.example.com'), ('cn', 'static-cn', 'gateway.example.cn')) v(region, namespace, host)")
 def x09(spark, sf):
     r = spark.createDataFrame([("EU",), ("cn",)], "region string")
     return r.select("region", S.namespace(F.lit("static"), F.col("region")).alias("namespace"), S.host(F.col("region")).alias("host"))
