@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.broadcasts import small
+
 UTILITY = "utility"
 #: How much each difficulty weighs, in order of rank.
 DIFFICULTIES = [("lfr", 0, 0.4), ("normal", 1, 0.7), ("heroic", 2, 1.0), ("mythic", 3, 1.3), ("mythic_plus", 4, 1.5)]
@@ -41,10 +43,10 @@ def pooled(states: DataFrame, abilities: DataFrame) -> DataFrame:
 
     A spec without a movement list falls back to the mobile part of its single-target list."""
     has = abilities.where("list = 'movement'").select("spec_id", F.lit(True).alias("has_movement")).distinct()
-    s = states.withColumn("situation", situation()).join(F.broadcast(has), "spec_id", "left")
+    s = states.withColumn("situation", situation()).join(small(has), "spec_id", "left")
     falls = (F.col("situation") == "movement") & F.col("has_movement").isNull()
     s = s.withColumn("list", F.when(falls, "single_target").otherwise(F.col("situation"))).withColumn("falls", falls)
-    rows = s.join(F.broadcast(abilities), ["spec_id", "list"]).where(~F.col("falls") | F.col("mobile") | (F.col("kind") == UTILITY))
+    rows = s.join(small(abilities), ["spec_id", "list"]).where(~F.col("falls") | F.col("mobile") | (F.col("kind") == UTILITY))
     return rows.withColumn("reason", ineligible_reason())
 
 
@@ -76,7 +78,7 @@ def explained(note: Column) -> Column:
 
 def cooldown_plan(states: DataFrame, abilities: DataFrame) -> DataFrame:
     """(state_id, name, remaining, ready, usable): every ability with a cooldown of the state's spec."""
-    rows = states.join(F.broadcast(abilities.where("cooldown > 0")), "spec_id")
+    rows = states.join(small(abilities.where("cooldown > 0")), "spec_id")
     left = F.coalesce(F.try_element_at("cooldowns_remaining", F.col("name")), F.lit(0.0))
     lacks = F.size(F.array_except(F.coalesce("requires_buffs", F.expr("cast(array() as array<int>)")), "active_buffs")) > 0
     return rows.select("state_id", "name", "kind", left.alias("remaining"), (left <= 0).alias("ready"), ((left <= 0) & ~lacks).alias("usable"))
@@ -154,7 +156,7 @@ def collection_plan(who: DataFrame, owned: DataFrame, goals: DataFrame) -> DataF
     the ranks 1 to 3 + owned the first three that are not owned."""
     whole = goals.groupBy("class", "category").agg(F.count("*").alias("n"), F.sum("minutes").alias("m"))
     has = who.join(owned, "char_id").join(goals, ["class", "id"]).groupBy("char_id", "category").agg(F.collect_set("r").alias("ranks"), F.count("*").alias("own"), F.sum("minutes").alias("own_m"))
-    rows = who.join(F.broadcast(whole), "class").join(has, ["char_id", "category"], "left")
+    rows = who.join(small(whole), "class").join(has, ["char_id", "category"], "left")
     ranks = F.coalesce("ranks", F.expr("cast(array() as array<int>)"))
     first = F.slice(F.array_except(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.size(ranks) + 3)), ranks), 1, 3)
     return rows.select("char_id", "class", "category", (F.col("n") - F.coalesce("own", F.lit(0))).alias("remaining"), (F.col("m") - F.coalesce("own_m", F.lit(0))).alias("minutes"), first.alias("first"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.broadcasts import small
 from millrace.operators.checkpoints import settled
 
 BREADCRUMB = 3
@@ -216,7 +217,7 @@ def campaign_progress(judged: DataFrame, quests: DataFrame) -> DataFrame:
     is_ = lambda s: F.col("status") == s
     nxt = F.slice(F.array_sort(F.collect_list(F.when(is_("available"), F.struct("quest_type", "required_level", "quest_id")))), 1, 3)
     got = rows.groupBy("char_id", "campaign").agg(*[F.count_if(is_(s)).alias(s) for s in ("completed", "in_progress", "available", "locked")], nxt.alias("nxt"))
-    return got.join(F.broadcast(total), "campaign").select(
+    return got.join(small(total), "campaign").select(
         "char_id", "campaign", "total", "completed", "in_progress", "available", "locked", F.round(100 * F.col("completed") / F.col("total"), 1).alias("percent"),
         F.array_join(F.transform("nxt", lambda x: x["quest_id"].cast("string")), ",").alias("next_quests"),
     )
@@ -230,7 +231,7 @@ def search(quests: DataFrame, searches: DataFrame, limit: int = 20) -> DataFrame
     words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9']+)"), F.lit(1)), lambda t: F.length(t) > 1)
     asked = searches.select("query_id", F.lower(F.trim("query")).alias("q"), words(F.col("query")).alias("tokens")).where("size(tokens) > 0")
     text = F.lower(F.concat_ws(" ", "title", "campaign"))
-    rows = quests.select("quest_id", F.lower("title").alias("title"), text.alias("hay"), words(text).alias("hay_words")).join(F.broadcast(asked))
+    rows = quests.select("quest_id", F.lower("title").alias("title"), text.alias("hay"), words(text).alias("hay_words")).join(small(asked))
     whole = F.size(F.filter("tokens", lambda t: F.array_contains("hay_words", t)))
     part = F.size(F.filter("tokens", lambda t: F.contains(F.col("hay"), t)))
     hits = F.when(whole > 0, whole).otherwise(part)

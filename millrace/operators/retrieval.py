@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.broadcasts import small
 
 RRF_K = 60
 BOOST = 1.15
@@ -168,7 +169,7 @@ def keyword_hints(questions: DataFrame, keywords: DataFrame, word_boundary: bool
     keywords: entity_type, keyword; a small dimension, joined by a test of every pair with a question."""
     q = F.concat(F.lit(" "), F.regexp_replace(F.lower("question"), "[^a-z0-9]+", " "), F.lit(" ")) if word_boundary else F.lower("question")
     key = F.concat(F.lit(" "), F.col("keyword"), F.lit(" ")) if word_boundary else F.col("keyword")
-    hit = questions.select("query_id", q.alias("q")).join(F.broadcast(keywords), F.contains(F.col("q"), key))
+    hit = questions.select("query_id", q.alias("q")).join(small(keywords), F.contains(F.col("q"), key))
     return hit.groupBy("query_id").agg(F.array_sort(F.collect_set("entity_type")).alias("hints"))
 
 
@@ -177,5 +178,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     queries and vectors: vec_id, embedding.  The queries are few and go to every partition of the vectors."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.where("embedding is not null").join(F.broadcast(q)).select("query_id", "vec_id", F.greatest(F.lit(0.0), F.round(T.cosine(F.col("q"), F.col("embedding")), 6)).alias("similarity"))
+    scored = vectors.where("embedding is not null").join(small(q)).select("query_id", "vec_id", F.greatest(F.lit(0.0), F.round(T.cosine(F.col("q"), F.col("embedding")), 6)).alias("similarity"))
     return top_per_query(scored, "similarity", k, tie="vec_id")
+
+
+def matches(asked: DataFrame, docs: DataFrame, doc_text: str = "body") -> DataFrame:
+    """(query_id, doc_id): the documents that have every word of ``all_of`` and none of ``none_of``.
+
+    asked: query_id, all_of and none_of array<string>; a query without wanted words matches nothing."""
+    index = terms(docs, "doc_id", doc_text)
+    wanted = asked.select("query_id", F.explode(F.array_distinct("all_of")).alias("term"))
+    unwanted = asked.select("query_id", F.explode("none_of").alias("term"))
+    need = asked.select("query_id", F.size(F.array_distinct("all_of")).alias("need"))
+    has = index.join(small(wanted), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    full = has.join(small(need), "query_id").where("n = need").select("query_id", "doc_id")
+    return full.join(index.join(small(unwanted), "term").select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.broadcasts import small
 from millrace.operators.checkpoints import settled
 
 #: How convenient each method is, best first.
@@ -49,11 +50,12 @@ def cheapest(network: DataFrame, key: list[str]) -> DataFrame:
     network: the edges of each key.  Ways are compared by cost, then convenience, then their names.
     Every round makes all ways one edge longer and keeps the best per node; it ends when none got better."""
     hop = network.select(*key, F.col("source").alias("node"), F.col("target").alias("next"), F.struct(F.col("cost_seconds").alias("cost"), convenience(F.col("method")).alias("conv"), "name").alias("e"))
+    near = small(settled(hop))
     starts = network.select(*key, F.col("source").alias("node")).unionByName(network.select(*key, F.col("target").alias("node"))).distinct()
     empty = F.struct(F.lit(0.0).alias("seconds"), F.lit(0).alias("conv"), F.expr("cast(array() as array<string>)").alias("path"))
     best = settled(starts.select(*key, F.col("node").alias("origin"), "node", empty.alias("way")))
     while True:
-        longer = best.join(F.broadcast(hop), [*key, "node"]).select(
+        longer = best.join(near, [*key, "node"]).select(
             *key, "origin", F.col("next").alias("node"),
             F.struct((F.col("way.seconds") + F.col("e.cost")).alias("seconds"), (F.col("way.conv") + F.col("e.conv")).alias("conv"), F.array_append("way.path", F.col("e.name")).alias("path")).alias("way"),
         )
@@ -67,14 +69,14 @@ def cheapest(network: DataFrame, key: list[str]) -> DataFrame:
 def by_capability(edges: DataFrame, travellers: DataFrame) -> DataFrame:
     """(faction, grown, source, ...): the edges that each kind of traveller (faction, level 40 or more) may use."""
     kinds = travellers.select(F.col("faction").alias("have"), F.col("grown")).distinct()
-    open_ = edges.join(F.broadcast(kinds), usable(F.col("have"), F.when(F.col("grown"), 40).otherwise(0)))
+    open_ = edges.join(small(kinds), usable(F.col("have"), F.when(F.col("grown"), 40).otherwise(0)))
     return open_.drop("faction", "min_level").withColumnRenamed("have", "faction")
 
 
 def for_characters(costs: DataFrame, characters: DataFrame) -> DataFrame:
     """(char_id, map_id, seconds): what it costs each character to get to each zone within reach."""
     who = characters.select("char_id", "faction", (F.col("level") >= 40).alias("grown"), F.col("map_id").alias("origin"))
-    return who.join(F.broadcast(costs), ["faction", "grown", "origin"]).select("char_id", F.col("node").alias("map_id"), "seconds")
+    return who.join(small(costs), ["faction", "grown", "origin"]).select("char_id", F.col("node").alias("map_id"), "seconds")
 
 
 def alternatives(network: DataFrame, requests: DataFrame, limit: int = 3) -> DataFrame:
@@ -88,7 +90,7 @@ def alternatives(network: DataFrame, requests: DataFrame, limit: int = 3) -> Dat
     bans = best.select("origin", "node", F.col("path").alias("first"), F.posexplode("path").alias("pos", "ban")).join(F.broadcast(cost.withColumnRenamed("banned", "ban")), "ban")
     bans = settled(bans)
     names = bans.select(F.col("ban").alias("banned")).distinct()
-    kept = network.join(F.broadcast(names), network["name"] != names["banned"])
+    kept = network.join(small(names), network["name"] != names["banned"])
     other = cheapest(kept, ["banned"]).withColumnRenamed("banned", "ban")
     found = bans.join(other, ["origin", "node", "ban"]).where(F.size("path") > 0)
     order = Window.partitionBy("origin", "node", "path").orderBy(F.desc("cost"), "pos")

@@ -129,3 +129,26 @@ def test_text_edges(spark):
     df = spark.createDataFrame([("",), (None,), (" a\r\n\r\n\r\n\r\nb\t c ",)], "t string")
     assert [r[0] for r in df.select(T.normalise_text(F.col("t"))).collect()] == ["", None, "a\n\nb c"]
     assert spark.range(1).select(S.percent(F.lit(1.0), F.lit(0.0)).alias("p")).first()["p"] is None
+
+
+def test_disabled_sources_are_refused(spark, tmp_path):
+    import pytest
+
+    from millrace.sources import connectors
+
+    spark.createDataFrame([(1, "http://x/en/a", "<p>b</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert connectors.read(spark, "wiki", str(tmp_path)).first()["body"] == "<p>b</p>"
+    assert connectors.read(spark, "guides", str(tmp_path)).first()["body"] == ""
+    with pytest.raises(PermissionError):
+        connectors.read(spark, "scraped", str(tmp_path))
+    assert "scraped" not in connectors.enabled()
+    with pytest.raises(ValueError):
+        connectors.connector("nobody")(lambda s, p: None)
+
+
+def test_provider_batches(spark):
+    from millrace.sources import connectors
+
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else " " if k % 5 == 1 else f"t{k}") for k in range(40)], "id long, text string")
+    got = connectors.embedded(rows, "id", "text", lambda texts: [[float(len(texts)), float(t[1:])] for t in texts], 2, size=4).collect()
+    assert len(got) == 40 and all(1 <= r["embedding"][0] <= 4 and r["embedding"][1] == r["id"] if r["id"] % 5 > 1 else r["embedding"] == [0.0, 0.0] for r in got)
