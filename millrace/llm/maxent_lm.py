@@ -12,7 +12,7 @@ changes are averaged, each row of weights by how often the tasks used it, and be
 weights.  Changes are summed in a stream, a block of rows at a time; the driver gets one sum per block.
 
 Word counts are exact over all training documents.  Words are known by 64-bit hashes of their bytes.
-The HEAD most frequent words are looked up in the map; the others are few per document and get their
+The most frequent words, up to HEAD, are looked up in the map; the others are few per document and get their
 counts by a shuffle join, in which no key can be hot because the hot words are in the head.
 """
 
@@ -170,6 +170,19 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts with the largest n, at most ``most``, without those that share the last one's step
+    of n.  Steps are sixteenths of an octave, single numbers up to 22; the driver sees one row per step, and
+    no task sends more than what is kept in the end."""
+    step = F.floor(F.log2("n") * 16)
+    taken, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        if (taken := taken + r["k"]) > most:
+            break
+        lowest = r["n"]
+    return counts.where("false") if lowest is None else counts.where(F.col("n") >= lowest)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Model, DataFrame, int, int]:
     """(model, counts (h, cls, n) of all training words, N, V) of a table of training texts.
 
@@ -178,7 +191,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     counts = settled(texts.mapInArrow(_count, "h long, cls long, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")))
     n_texts = docs.count()
-    head = counts.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "cls", "n").toPandas()  # HEAD rows at most
+    head = frequent(counts, HEAD).select("h", "cls", "n").toArrow().to_pandas()  # HEAD rows at most
     model = Model(head["h"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), n_texts)
     sums = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row per rare class
     for r in sums:
