@@ -170,6 +170,11 @@ def _compare(pdf: pd.DataFrame, percent: int, k: int, c: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array([x for x, _ in out], dtype=np.int64), "b": np.array([y for _, y in out], dtype=np.int64)})
 
 
+def _small(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """rows of one or two numbers with a broadcast hint if they are at most ``most``; else they are shuffled."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs; ids are longs.
 
@@ -182,13 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch"))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "n", "sketch")
     member = settled(clusters(reps, percent, k))
-    ids = member.select("id").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_small(member.select("id").distinct()), "id", "left_semi")
     sets = full_sets(held, "id", "text", words)
-    blocks = member.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
-    placed = member.join(blocks, "hub").select("hub", "id", "g", F.pmod(F.xxhash64("id"), F.col("g")).cast("int").alias("block"))
+    crowded = member.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > block).select("hub", F.ceil(F.col("size") / block).cast("int").alias("g"))
+    placed = member.join(_small(crowded), "hub", "left").withColumn("g", F.coalesce("g", F.lit(1))).select("hub", "id", "g", F.pmod(F.xxhash64("id"), F.col("g")).cast("int").alias("block"))
     mine = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda i: F.transform(F.sequence(i, F.col("g") - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
     dealt = placed.select("hub", "id", "block", F.explode(F.when(F.col("hub") == F.col("id"), every).otherwise(mine)).alias("p")).select("hub", "id", "block", "p.bi", "p.bj")
