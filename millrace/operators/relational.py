@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.broadcasts import small
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of df in the order given, which must end in a unique key."""
@@ -77,6 +79,17 @@ def in_list(column: str, values: list | None) -> Column:
     return F.lit(True) if values is None else F.col(column).isin(values)
 
 
+def eligible_counts(characters: DataFrame, quests: DataFrame) -> DataFrame:
+    """Every row of characters with n, the quests of its faction and of a required_level up to its level; a null
+    on either side is a wildcard.  Only the distinct kinds of both sides are compared, never their rows."""
+    kinds = quests.groupBy(F.col("faction").alias("__f"), F.col("required_level").alias("__l")).agg(F.count("*").alias("__n"))
+    have = characters.select("faction", "level").distinct()
+    may = (F.col("__f").isNull() | F.col("faction").isNull() | (F.col("__f") == F.col("faction"))) & (F.col("__l").isNull() | F.col("level").isNull() | (F.col("__l") <= F.col("level")))
+    n = have.join(kinds, may).groupBy(F.col("faction").alias("__hf"), F.col("level").alias("__hl")).agg(F.sum("__n").alias("n"))
+    same = F.col("faction").eqNullSafe(F.col("__hf")) & F.col("level").eqNullSafe(F.col("__hl"))
+    return characters.join(small(n), same, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long")).drop("__hf", "__hl")
+
+
 def islands(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str = "run") -> DataFrame:
     """Number the runs of equal values in order, from 1, within each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

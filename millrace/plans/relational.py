@@ -169,6 +169,11 @@ def f13(spark, sf):
     return mine.join(q, (mine["campaign"] == q["campaign"]) & ok).groupBy("char_id").agg(F.count("*").alias("n"))
 
 
+@query("f13b_quest_eligibility_all", f"WITH {CHARACTERS_SQL}, {QUESTS_SQL} SELECT char_id, count(quest_id) AS n FROM characters c LEFT JOIN quests q ON (q.faction IS NULL OR c.faction IS NULL OR q.faction = c.faction) AND (q.required_level IS NULL OR c.level IS NULL OR q.required_level <= c.level) GROUP BY char_id")
+def f13b(spark, sf):
+    return R.eligible_counts(characters(spark, sf), quests(spark, sf)).select("char_id", "n")
+
+
 @query("f19_roster_selection", """SELECT c_nationkey AS account, c_custkey AS char_id FROM (
   SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer WHERE c_custkey % 80 + 1 >= 10) WHERE rn <= 50""")
 def f19(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import semistructured as S
 from millrace.functions import text as T
 from millrace.operators import chunking, graph, relational, routing
+from millrace.plans import registry
 
 
 def kahn_by_hand(nodes, links):
@@ -152,3 +153,21 @@ def test_provider_batches(spark):
     rows = spark.createDataFrame([(k, None if k % 5 == 0 else " " if k % 5 == 1 else f"t{k}") for k in range(40)], "id long, text string")
     got = connectors.embedded(rows, "id", "text", lambda texts: [[float(len(texts)), float(t[1:])] for t in texts], 2, size=4).collect()
     assert len(got) == 40 and all(1 <= r["embedding"][0] <= 4 and r["embedding"][1] == r["id"] if r["id"] % 5 > 1 else r["embedding"] == [0.0, 0.0] for r in got)
+
+
+def test_eligible_counts(spark):
+    r = random.Random(5)
+    have = [(k, r.choice(["alliance", "horde", None]), r.choice([None, *range(1, 9)])) for k in range(100, 400)]
+    need = [(k, r.choice(["alliance", "horde", None]), r.choice([None, *range(2, 9)])) for k in range(60)]
+    characters = spark.createDataFrame(have, "char_id long, faction string, level int")
+    quests = spark.createDataFrame(need, "quest_id long, faction string, required_level int")
+    want = {c: sum((f is None or g is None or f == g) and (m is None or lv is None or m <= lv) for _, g, m in need) for c, f, lv in have}
+    assert {x["char_id"]: x["n"] for x in relational.eligible_counts(characters, quests).collect()} == want
+    assert [x["n"] for x in relational.eligible_counts(characters, quests.where("false")).limit(3).collect()] == [0, 0, 0]
+
+
+def test_whole_eligibility_keeps_all_characters(spark):
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    got = registry.QUERIES["f13b_quest_eligibility_all"](spark, sf)
+    assert got.count() == n > 200 and got.where("n > 0").count() == n
