@@ -3,7 +3,8 @@
 Source and configuration text is lexed around its assignment signs into (name, literal) pairs.
 Literals bound to plain names are kept as constants of the document, so that ``password = BASE + "x"``
 or ``db.password: *pw`` leads back to the literal that holds the secret.  A pair's score is how
-sensitive the target name is, times how much the literal looks like a value rather than a placeholder.
+sensitive the target name is, times how much the literal, alone or joined with the others of the right
+side, looks like a value rather than a placeholder.
 
 Three fixed patterns (assign, access, hex) are always reported besides.  Documents are scanned whole,
 one at a time inside a map over Arrow batches: no shuffle, memory bounded by the longest text.
@@ -41,11 +42,11 @@ PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|true|false|undefined|changeme|c
 THRESHOLD = 0.6
 
 _SIGN = re.compile(r"=>|:=|==|[!<>]=|[=:]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(?:["'`]?\])?["'`]?[ \t]{0,8}$""")
-_TERM = re.compile(r"""[ \t]{0,8}(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([*&$]?[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.+/=\-])|([A-Za-z0-9+/_.=\-@!#%^&*~]+))""")
-_PLUS = re.compile(r"[ \t]{0,8}(?:\+|\.\.|\.(?= ))")
+_TERM = re.compile(r"""[ \t]*+(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([*&$]?[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.+/=\-])|([A-Za-z0-9+/_.=\-@!#%^&*~]+))""")
+_PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|\.(?= ))")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_LOOK_BACK = 96
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+_IN_NAME = _LETTERS | frozenset("0123456789.-")
 
 
 def name_score(name: str) -> float:
@@ -70,33 +71,59 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.25 * kinds + 0.15 * entropy + 0.01 * len(value))
 
 
-def literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """(name, [(start, end, value) of each literal that its right side leads back to]), in text order."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+def name_before(text: str, at: int) -> str:
+    """The name that ends before a sign at ``at``, with a quote, a bracket and blanks between; empty if there is none."""
+    i = at - 1 if at and text[at - 1] == "\n" else at
+    while i and text[i - 1] in " \t":
+        i -= 1
+    if i and text[i - 1] in "\"'`":
+        i -= 1
+    if i and text[i - 1] == "]":
+        i -= 1
+        if i and text[i - 1] in "\"'`":
+            i -= 1
+    start = i
+    while start and text[start - 1] in _IN_NAME:
+        start -= 1
+    while start < i and text[start] not in _LETTERS:
+        start += 1
+    return text[start:i]
+
+
+Parts = list[tuple[int, int, str]]
+
+
+def literal_pairs(text: str) -> Iterator[tuple[str, Parts, Parts]]:
+    """(name, literals, value) in text order: (start, end, value) of each literal that the right side leads
+    back to, and of those that are joined to its value, which unknown names in a sum are not."""
+    constants: dict[str, tuple[Parts, Parts]] = {}
     for sign in _SIGN.finditer(text):
         if sign[0] in ("==", "!=", "<=", ">="):
             continue
-        at = sign.start()
-        if not (m := _NAME.search(text[max(0, at - _LOOK_BACK) : at])):
+        if not (name := name_before(text, sign.start())):
             continue
-        name, parts, pos = m[1], [], sign.end()
+        parts, value, pos = [], [], sign.end()
         while t := _TERM.match(text, pos):
             group = t.lastindex
             if group == 4:  # a name: lead back to its literals, or take a bare word of a configuration line
                 known = constants.get(t[4].lstrip("*&$"))
                 if known is not None:
-                    parts += known
+                    parts += known[0]
+                    value += known[1]
                 elif sign[0] in ("=", ":") and t[4][0] not in "*&$":
                     parts.append((t.start(4), t.end(4), t[4]))
             elif group:
                 parts.append((t.start(group), t.end(group), t[group]))
+                value.append(parts[-1])
             pos = t.end()
             if not (plus := _PLUS.match(text, pos)):
                 break
             pos = plus.end()
         if parts:
-            constants[name] = parts
-            yield name, parts
+            if len(parts) == 1:
+                value = parts
+            constants[name] = parts, value
+            yield name, parts, value
 
 
 def scan(text: str | None) -> list[tuple[int, str, int, float]]:
@@ -115,12 +142,15 @@ def scan(text: str | None) -> list[tuple[int, str, int, float]]:
     for m in HEX.finditer(text):
         found[m.start(), 2, m.end()] = 0.8
     if "=" in text or ":" in text:
-        for name, parts in literal_pairs(text):
+        for name, parts, joint in literal_pairs(text):
             if (weight := name_score(name)) == 0:
                 continue
-            for start, end, value in parts:
-                score = weight * literal_score(value)
-                if score >= THRESHOLD:
+            whole = literal_score("".join(x[2] for x in joint)) if len(joint) > 1 else 0.0
+            of_whole = set(joint) if whole else ()
+            for part in parts:
+                start, end, value = part
+                score = weight * max(literal_score(value), whole if part in of_whole else 0.0)
+                if score >= THRESHOLD and end > start:
                     found[start, 3, end] = max(score, found.get((start, 3, end), 0.0))
     return [(s, KINDS[k], e, v) for (s, k, e), v in sorted(found.items())]
 

@@ -65,3 +65,29 @@ def test_frames(spark, docs, empty):
     kept = {r["doc_id"]: r for r in S.redact_secrets(one).collect()}
     assert kept[1]["text"] == "x [SECRET]" and kept[1]["n_chars"] == 10 and kept[2]["text"] is None
     assert S.scan_spans(empty).count() == 0 and S.redact_secrets(docs).columns == docs.columns
+
+
+def test_blanks_and_names_of_any_length():
+    value = "q8Zr4TnW2xLp"
+    for name in ("passphrase", "db_pwd", "password." + "section." * 40 + "value", 'conf["pwd"]', "'client.secret'"):
+        for left, right in ((1, 1), (9, 1), (1, 9), (40, 3000), (5000, 2)):
+            for blank in " \t":
+                text = f'title = "plain words"\n{name}{blank * left}={blank * right}"{value}"\n'
+                assert [text[s:e] for s, k, e, _ in S.scan(text) if k == "literal"] == [value], (name, left, right)
+    text = 'password = "q8Zr"' + " " * 20 + "+" + " " * 20 + '"4TnW2xLp"'
+    assert "q8Zr" not in S.redacted(text, S.scan(text)) and "4TnW" not in S.redacted(text, S.scan(text))
+
+
+def test_joined_literals():
+    literals = lambda text: [text[s:e] for s, k, e, _ in S.scan(text) if k == "literal"]
+    assert literals('a = "q8Zr"\nb = "4TnW"\npassword = a + b\n') == ["q8Zr", "4TnW"]
+    assert literals('a = "q8Z"\nb = a + "r4T"\ndb_pwd = b + "" + "nW2"\n') == ["q8Z", "r4T", "nW2"]
+    assert literals('a = "q8Z"\npassword = a + a + a\n') == ["q8Z"]
+    assert literals("password = user + host\n") == []
+    assert literals('title = "q8Zr" + "4TnW"\n') == []
+
+
+def test_joined_literals_are_redacted(spark):
+    text = 'a = "q8Zr"\nb = "4TnW"\ndb_pwd' + " " * 30 + "= a + b"
+    out = S.redact_secrets(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")).first()
+    assert out["text"] == 'a = "[SECRET]"\nb = "[SECRET]"\ndb_pwd' + " " * 30 + "= a + b" and out["n_chars"] == len(out["text"])
