@@ -76,6 +76,7 @@ def cells(x: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes: int
         rng = np.random.default_rng([d, t])
         project = rng.normal(size=(d, 8 * blocks))
         project /= np.linalg.norm(project, axis=0) * scale * np.sqrt(64 / d)
+        seed = mixed(mixed(np.array([d])) + np.uint64(t))  # vectors of two lengths share no cell, the origin neither
         weights = rng.integers(1, 2**63, size=8 * blocks, dtype=np.uint64) | np.uint64(1)
         y = x @ project
         home = np.concatenate([nearest_e8(y[:, 8 * b : 8 * b + 8]) for b in range(blocks)], axis=1)
@@ -90,7 +91,7 @@ def cells(x: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes: int
             points.append(home + step)
         for k, p in enumerate(points):
             whole = np.rint(2 * p).astype(np.int64).view(np.uint64)
-            out[:, t, k] = mixed((whole * weights).sum(axis=1, dtype=np.uint64) + np.uint64(t)).view(np.int64)
+            out[:, t, k] = mixed((whole * weights).sum(axis=1, dtype=np.uint64) + seed).view(np.int64)
     return out
 
 
@@ -138,10 +139,17 @@ def _verify(threshold: float):
             edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]), True])
             rows: list[tuple[np.ndarray, ...]] = []
             for lo, hi in itertools.pairwise(edge):
-                if hi - lo < 2 or not home[lo:hi].any() or (sizes[lo:hi] != sizes[lo]).any():
+                if hi - lo < 2 or not home[lo:hi].any():
                     continue
-                x = unit(flat[at[lo] : at[hi]].reshape(hi - lo, -1))
-                near = x @ x.T >= threshold
+                if (sizes[lo:hi] == sizes[lo]).all():
+                    x = unit(flat[at[lo] : at[hi]].reshape(hi - lo, -1))
+                    near = x @ x.T >= threshold
+                else:  # keys of two lengths that happen to be equal
+                    near = np.zeros((hi - lo, hi - lo), dtype=bool)
+                    for d in np.unique(sizes[lo:hi]):
+                        of = np.flatnonzero(sizes[lo:hi] == d)
+                        x = unit([flat[at[lo + i] : at[lo + i + 1]] for i in of])
+                        near[np.ix_(of, of)] = x @ x.T >= threshold
                 near &= home[lo:hi, None] | home[None, lo:hi]
                 if bi[lo] != bj[lo]:
                     near &= block[lo:hi, None] != block[None, lo:hi]

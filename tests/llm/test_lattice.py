@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.llm import lattice_dedup as L
 
@@ -73,3 +74,29 @@ def test_crowded_cells(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert L.near_duplicate_vectors(df).count() == 0
+
+
+def test_lengths_share_the_origin(spark):
+    """Vectors whose home in the first table is the origin, in near copies, of three lengths: all links count."""
+    r, rows = np.random.default_rng(6), []
+    for d in (24, 48, 64):
+        project = np.random.default_rng([d, 0]).normal(size=(d, 8 * L.BLOCKS))
+        q, _ = np.linalg.qr(project)
+        for _ in range(3):
+            v = r.normal(size=d)
+            v -= q @ (q.T @ v)
+            rows += [(len(rows) + k, (v + 1e-3 * r.normal(size=d)).tolist()) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in L.near_duplicate_vectors(df).collect()}
+    want = brute(rows, 0.9)
+    assert got == want and min(n for n, _ in want.values()) == 3
+
+
+def test_one_cell_of_two_lengths():
+    vectors = [[1.0, 2.0], [1.0, 2.0, 3.0], [1.0, 2.001], [1.0, 2.0, 3.001], [5.0, -1.0]]
+    n = len(vectors)
+    batch = pa.RecordBatch.from_pydict(
+        {"id": list(range(n)), "cell": [7] * n, "home": [True] * n, "block": pa.array([0] * n, pa.int32()), "bi": pa.array([0] * n, pa.int32()), "bj": pa.array([0] * n, pa.int32()), "m": [1] * n, "vector": vectors, "homes": [[7]] * n}
+    )
+    out = [x for b in L._verify(0.9)(iter([batch])) for x in b.to_pylist()]
+    assert [(x["id"], x["n"], x["other"]) for x in out] == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)]
