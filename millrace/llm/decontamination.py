@@ -1,12 +1,12 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only.
+"""Benchmark decontamination by MinHash containment search, in DataFrame operations only.
 
 A test item is a few dozen words, a document up to tens of thousands: their Jaccard similarity is near
 zero even when the item stands in the document whole, so banded signatures of equal length would miss
 it.  Containment is searched from the item's side instead.  Under one hash function an item of n
-shingles keeps its k smallest hashes; items are partitioned by size, and k follows from the size:
-k = n - ceil(t n) + 1.  A document that contains a share t of the item must hold one of these k (only
-k - 1 may be missing), so the search loses nothing.  A document's sketch for a partition is its
-shingles with a hash up to the partition's largest kept value; its other shingles are never looked up.
+shingles keeps its k smallest hashes, where k follows from its size: k = n - ceil(t n) + 1.  A document that contains a share t of the item must hold one of these k (only
+k - 1 may be missing), so the search loses nothing.  One threshold serves the items of all sizes: a
+document looks up its shingles with a hash up to the largest kept value of any item of as many words a
+shingle, so one short item with a high hash lets nearly all of them be looked up.
 
 Candidates are then verified on the shingles themselves, not their hashes.
 """
@@ -53,7 +53,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, words: int = WOR
 
 
 def sketches(shingles: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The k smallest hashes of each item, with the item's size partition (a power of two)."""
+    """The k smallest hashes of each item, with the power of two that its size falls in, which the search does not use."""
     k = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = shingles.groupBy("item_id", "m", "n").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     return kept.select("item_id", "m", F.floor(F.log2("n")).cast("int").alias("part"), F.explode(F.slice("hs", F.lit(1), k.cast("int"))).alias("h"))
