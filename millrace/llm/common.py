@@ -7,16 +7,20 @@ document, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
+#: Arrow batches end at this many bytes, so that a run of long texts does not fill a worker.
+BATCH_BYTES = 8_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,15 +29,53 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no more
-    than the tasks it ran.  The folder is the session's; one is made only where none is named."""
+    than the tasks it ran.  The folder is the session's; one is made only on a local master, as a
+    cluster's machines do not see each other's temporary folders."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """rows.mapInArrow with batches bounded in bytes, unless the session bounds them more closely.
+
+    Workers live on after a task, so each task gives the memory it has freed back to the machine."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    conf = rows.sparkSession.conf
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if now is None or not now.strip().isdigit() or not 0 < int(now) < BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def slices(b: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows whose texts, in ``column``, have about ``limit`` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < b.num_rows:
+        end = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + limit, side="right")))
+        yield b.slice(first, end - first)
+        first = end
+
+
 def chunks(ids: pa.Array, texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Split an Arrow batch into runs of whole documents of about ``limit`` bytes.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, load, mixed, settled
+from millrace.llm.common import arrow_map, components, load, mixed, settled
 
 TABLES = 16
 BLOCKS = 2
@@ -205,7 +205,7 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     classes = keyed.where("fit").groupBy("p1", "p2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.any_value("vector").alias("vector"))
     kind = rows.schema[vector_col].dataType.simpleString()
     reps = settled(
-        classes.where("id is not null").select("id", "m", "vector").mapInArrow(_listed, f"id long, m long, vector {kind}, homes array<long>, near array<long>")
+        classes.where("id is not null").select("id", "m", "vector").transform(arrow_map, _listed, f"id long, m long, vector {kind}, homes array<long>, near array<long>")
     )
     listed = reps.select("id", F.explode(F.concat(F.transform("homes", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("home"))), F.transform("near", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("home"))))).alias("c")).select("id", "c.cell", "c.home")
     crowded = listed.groupBy("cell").agg(F.count("*").alias("size"), F.max("home").alias("any")).where("size > 1 and any").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("g"))
@@ -214,7 +214,7 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     dealt = placed.select("id", "cell", "home", "block", F.explode(pairs).alias("p")).select("id", "cell", "home", "block", "p.bi", "p.bj")
     met = (
         dealt.join(reps.drop("near"), "id").repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "id")
-        .mapInArrow(_verify(threshold), "id long, n long, other long, alone boolean")
+        .transform(arrow_map, _verify(threshold), "id long, n long, other long, alone boolean")
     )
     met = settled(met)
     apart = met.where("alone").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import arrow_map, slices
+
 # The base phrases of the contract and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -132,13 +134,13 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", templates: dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 0)):
             for t in b.column(0).to_pylist():
                 counts.update(vocabulary.intersection(words_of(t)))
             counts[b""] += b.num_rows
         yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text_col).alias("text")).transform(arrow_map, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = {r["word"].encode(): r["n"] for r in counted.collect()}  # at most a row per licence word
     return found, found.pop(b"", 0)
 
@@ -151,7 +153,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for t in b.column(1).to_pylist():
                 words = words_of(t)
@@ -163,7 +165,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    out = rows.transform(arrow_map, run, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _LOWER, chunks, load, mixed, settled, word_hashes, words_of
+from millrace.llm.common import arrow_map, _LOWER, chunks, load, mixed, settled, word_hashes, words_of
 
 HEAD = 200_000
 HEAD_CLASSES = 23
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     Null texts are empty ones.  N and V count the end of a text as a token.  Without documents all is 0."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    counts = settled(texts.mapInArrow(_count, "h long, cls long, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")))
+    counts = settled(texts.transform(arrow_map, _count, "h long, cls long, n long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")))
     n_texts = docs.count()
     head = frequent(counts, HEAD).select("h", "cls", "n").toArrow().to_pandas()  # HEAD rows at most
     model = Model(head["h"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), n_texts)
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
-        changes = part.mapInArrow(_train(shared), "block int, delta binary, uses binary").repartition("block").mapInArrow(_sum_blocks, "block int, delta binary, uses binary").collect()
+        changes = part.transform(arrow_map, _train(shared), "block int, delta binary, uses binary").repartition("block").transform(arrow_map, _sum_blocks, "block int, delta binary, uses binary").collect()
         model.weights = model.weights.copy()
         cube = model.weights.reshape(-1, BLOCK_ROWS, CLASSES)
         for c in changes:  # one row per block at most
@@ -260,7 +260,7 @@ def score_texts(docs: DataFrame, fitted: tuple[Model, DataFrame, int, int], id_c
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     scored = settled(
-        texts.mapInArrow(_score(shared), f"id {kind}, n_tokens long, n_known long, seen double, classes double, rest array<struct<h:long,times:int>>").withColumn("row", F.monotonically_increasing_id())
+        texts.transform(arrow_map, _score(shared), f"id {kind}, n_tokens long, n_known long, seen double, classes double, rest array<struct<h:long,times:int>>").withColumn("row", F.monotonically_increasing_id())
     )
     rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.h", "r.times")
     more = rest.join(counts.select("h", "n"), "h").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("known"))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import arrow_map, slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NEVER = np.iinfo(np.int32).max
@@ -321,16 +323,6 @@ def decode_ids(p: Pieces, ids: list[int] | None) -> str | None:
 _LIST = pa.list_(pa.int32())
 
 
-def _slices(b: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows of about ``most`` characters of the text column."""
-    sizes = np.array([len(t) if t is not None else 0 for t in b.column(text).to_pylist()])
-    first, total = 0, np.cumsum(sizes)
-    while first < len(sizes):
-        end = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, side="right")))
-        yield b.slice(first, end - first)
-        first = end
-
-
 def _map(docs: DataFrame, id_col: str, text_col: str, model: str, columns: str, make) -> DataFrame:
     p = pieces_at(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -339,11 +331,11 @@ def _map(docs: DataFrame, id_col: str, text_col: str, model: str, columns: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(shared.value)
         for b in batches:
-            for part in _slices(b, 1, 4_000_000):
+            for part in slices(b, 1, 4_000_000):
                 yield make(encoder, part)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+    return rows.transform(arrow_map, run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -368,7 +360,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(shared.value, x) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).transform(arrow_map, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def encode_checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

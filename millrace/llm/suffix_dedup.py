@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import _BASE, _RANDOM, _UNBASE, _powers, chunks, load, mixed, settled
+from millrace.llm.common import arrow_map, _BASE, _RANDOM, _UNBASE, _powers, chunks, load, mixed, settled
 
 SPAN = 400
 GRAM = 32
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"span must be above {GRAM}")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = settled(texts.mapInArrow(_anchor_rows(span), f"id {kind}, th long, anchor long, print long, start long, count long"))
+    found = settled(texts.transform(arrow_map, _anchor_rows(span), f"id {kind}, th long, anchor long, print long, start long, count long"))
     segments = settled(
         found.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "count")).alias("at"))
         .withColumn("count", F.col("at.count"))
@@ -351,10 +351,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th"))
         .agg(F.collect_list(F.struct("anchor", "print", F.col("at.start").alias("start"), (F.col("at.start") + F.col("count") - 1 + span).alias("end"))).alias("wanted"))
     )
-    fetched = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("text", "wanted").mapInArrow(_cut, "anchor long, print long, segment binary")
+    fetched = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("text", "wanted").transform(arrow_map, _cut, "anchor long, print long, segment binary")
     marks = (
         fetched.dropDuplicates(["anchor", "print"]).repartition("anchor").sortWithinPartitions("anchor", "print")
-        .mapInArrow(_shards(span), "anchor long, print long, lo long, hi long")
+        .transform(arrow_map, _shards(span), "anchor long, print long, lo long, hi long")
     )
     copies = segments.where("n > 1").select("anchor", "print", F.lit(0).cast("long").alias("lo"), (F.col("count") - 1).alias("hi"))
     single = segments.where("n = 1").select("anchor", "print")
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumnsRenamed({"id": "rid", "th": "rth"})
     )
     joined = texts.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
-    out = joined.select("id", "text", "runs").mapInArrow(_remove(span, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    out = joined.select("id", "text", "runs").transform(arrow_map, _remove(span, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)
 
 
