@@ -98,10 +98,15 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **more) -> DataFrame:
-    """The rows of docs, all columns, in which no item is contained."""
-    bad = settled(contained_items(docs, items, doc_id, doc_text, **more).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(small(bad, BROADCAST_IDS), docs[doc_id] == F.col("__bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", **more) -> DataFrame:
+    """The rows of docs, all columns, in which no item is contained.
+
+    Rows are judged by a 64-bit hash of their text alone, so ids may be null or repeat and copies are
+    judged once.  Null and empty texts stay."""
+    text = F.xxhash64(doc_text)
+    keyed = docs.select(text.alias("__text"), F.col(doc_text).alias("text"))
+    bad = settled(contained_items(keyed, items, "__text", "text", item_id, item_text, **more).select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.withColumn("__text", text).join(small(bad, BROADCAST_IDS), F.col("__text") == F.col("__bad"), "left_anti").drop("__text")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

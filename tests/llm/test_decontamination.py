@@ -66,3 +66,16 @@ def test_empty_and_drop(spark, docs, empty):
     assert D.drop_contaminated(docs, none).count() == docs.count()
     kept = D.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and docs.count() - kept.count() == 1
+
+
+def test_rows_are_judged_by_their_text(spark):
+    """Null and repeated ids neither hide a contaminated row nor take a clean one with it."""
+    item = "the benchmark item that nobody may find in any of the texts"
+    rows = [(None, f"before. {item} after"), (None, "clean and long enough to stay where it is"), (1, f"{item}"), (1, "another clean text under the same id"), (2, None), (None, None), (3, ""), (4, f"x {item} y"), (4, f"x {item} y")]
+    d = spark.createDataFrame([(k, t, n, "h") for n, (k, t) in enumerate(rows)], "doc_id long, text string, item_id int, h string").repartition(3)
+    kept = D.drop_contaminated(d, spark.createDataFrame([(1, item), (None, "clean and long enough")], "item_id long, text string"))
+    assert kept.columns == d.columns
+    assert {r["item_id"] for r in kept.collect()} == {1, 3, 4, 5, 6}
+    # the search by id: rows of one id count as one document, rows without an id are left out
+    found = D.contained_items(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (4, 1)}

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from millrace.llm import secret_scan as S
 
@@ -91,3 +93,52 @@ def test_joined_literals_are_redacted(spark):
     text = 'a = "q8Zr"\nb = "4TnW"\ndb_pwd' + " " * 30 + "= a + b"
     out = S.redact_secrets(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")).first()
     assert out["text"] == 'a = "[SECRET]"\nb = "[SECRET]"\ndb_pwd' + " " * 30 + "= a + b" and out["n_chars"] == len(out["text"])
+
+
+def brute_literals(text):
+    """Literal spans by copying every value into those that name it, over lines of the form name = term + term."""
+    constants, found = {}, set()
+    for m in re.finditer(r"(?m)^(\w+) = (.*)$", text):
+        literals, joint = [], []
+        for t in re.finditer(r'"([^"]*)"|(\w+)', m[2]):
+            if t[2] is None:
+                literals.append((t.start(1) + m.start(2), t.end(1) + m.start(2), t[1]))
+                joint.append(literals[-1])
+            elif t[2] in constants:
+                literals += constants[t[2]][0]
+                joint += constants[t[2]][1]
+            else:
+                literals.append((t.start(2) + m.start(2), t.end(2) + m.start(2), t[2]))
+        if len(literals) == 1:
+            joint = literals
+        constants[m[1]] = literals, joint
+        weight = S.name_score(m[1])
+        whole = S.literal_score("".join(x[2] for x in joint))
+        for x in literals:
+            if weight * max(S.literal_score(x[2]), whole if x in joint else 0) >= S.THRESHOLD and x[1] > x[0]:
+                found.add(x[:2])
+    return sorted(found)
+
+
+def test_literal_spans_like_brute_force():
+    r = random.Random(2)
+    names = ["a", "b", "c", "base", "password", "db_pwd", "title", "salt", "auth"]
+    for _ in range(400):
+        lines = []
+        for _ in range(r.randint(1, 9)):
+            terms = [r.choice([r.choice(names), '"' + "".join(r.choice("aQz7#x") for _ in range(r.randint(0, 6))) + '"']) for _ in range(r.randint(1, 3))]
+            lines.append(f"{r.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        assert [(s, e) for s, k, e, _ in S.scan(text) if k == "literal"] == brute_literals(text), text
+
+
+def test_values_that_grow_without_end():
+    """Sums of sums stay linear: neither doubling nor long chains of names copy what they lead to."""
+    began = time.time()
+    text = 'a = "q8Zr4TnW"\n' + "a = a + a\n" * 200 + "password = a\n"
+    assert [text[s:e] for s, k, e, _ in S.scan(text) if k == "literal"] == ["q8Zr4TnW"]
+    text = 'password = "q8Zr"\n' + 'password = password + "4TnW"\n' * 20_000
+    assert sum(k == "literal" for _, k, _, _ in S.scan(text)) == 20_001
+    text = 'v0 = "q8Zr"\nv1 = "4TnW"\n' + "".join(f"v{i} = v{i - 1} + v{i - 2}\n" for i in range(2, 20_000)) + "secret = v19999\n"
+    assert [text[s:e] for s, k, e, _ in S.scan(text) if k == "literal"] == ["q8Zr", "4TnW"]
+    assert time.time() - began < 20
