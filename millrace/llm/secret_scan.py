@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import arrow_map, slices
+
 KINDS = ("assign", "access", "hex", "literal")
 
 # The base patterns of the contract.
@@ -40,6 +42,8 @@ NAME_WEIGHT = {
 KEY_OF = {"api", "private", "access", "secret", "auth", "signing", "encryption", "master", "account", "client", "ssh", "deploy"}
 PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|true|false|undefined|changeme|change_me|example|sample|test|dummy|todo|password|secret|token|string|your.*|x+|\*+|\.+|-+|_+|0+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|os\.environ.*|env\[.*|getenv.*)$")
 THRESHOLD = 0.6
+SHORT = 256
+HUGE = 10**12
 
 _SIGN = re.compile(r"=>|:=|==|[!<>]=|[=:]")
 _TERM = re.compile(r"""[ \t]*+(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([*&$]?[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.+/=\-])|([A-Za-z0-9+/_.=\-@!#%^&*~]+))""")
@@ -61,14 +65,17 @@ def name_score(name: str) -> float:
     return score
 
 
+def mixed_score(length: int, counts: Counter) -> float:
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
+    kinds = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts})
+    return min(1.0, 0.25 * kinds + 0.15 * entropy + 0.01 * length)
+
+
 def literal_score(value: str) -> float:
     """0 to 1: long, mixed literals count more; placeholders and plain short words count nothing."""
     if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, 0.25 * kinds + 0.15 * entropy + 0.01 * len(value))
+    return mixed_score(len(value), Counter(value))
 
 
 def name_before(text: str, at: int) -> str:
@@ -90,44 +97,97 @@ def name_before(text: str, at: int) -> str:
     return text[start:i]
 
 
-Parts = list[tuple[int, int, str]]
+class Value:
+    """What a right side leads back to: literals of its own and values of earlier names, never copied.
+
+    ``joint`` are those joined to its value, which unknown names in a sum are not.  Of the joined text
+    only what scoring asks for is kept: its length, its characters' counts and, while short, itself."""
+
+    def __init__(self) -> None:
+        self.literals: list[tuple[int, int, str, bool]] = []
+        self.names: dict[int, Value] = {}
+        self.length, self.counts, self.text = 0, Counter(), ""
+        self.weight = self.whole = 0.0  # the highest score of a name that leads here; the same for the joined text
+
+    def take(self, start: int, end: int, literal: str, joint: bool) -> None:
+        self.literals.append((start, end, literal, joint))
+        if joint:
+            self._join(len(literal), Counter(literal), literal)
 
+    def lead(self, other: Value) -> None:
+        self.names[id(other)] = other
+        self._join(other.length, other.counts, other.text)
 
-def literal_pairs(text: str) -> Iterator[tuple[str, Parts, Parts]]:
-    """(name, literals, value) in text order: (start, end, value) of each literal that the right side leads
-    back to, and of those that are joined to its value, which unknown names in a sum are not."""
-    constants: dict[str, tuple[Parts, Parts]] = {}
+    def _join(self, length: int, counts: Counter, text: str | None) -> None:
+        self.length += length
+        self.counts = self.counts + counts
+        if self.length > HUGE:  # only repeated sums get here: from now on in proportion
+            self.counts = Counter({c: n * 1e-6 for c, n in self.counts.items()})
+            self.length = sum(self.counts.values())
+        self.text = self.text + text if self.text is not None and text is not None and len(self.text) + len(text) <= SHORT else None
+
+    def score(self) -> float:
+        """literal_score of the joined text; a long one is no placeholder and a blank anywhere in it counts."""
+        if self.text is not None:
+            return literal_score(self.text)
+        return 0.0 if self.counts[" "] else mixed_score(self.length, self.counts)
+
+
+def literal_pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment in text order.  A value is made before those that lead back to it."""
+    constants: dict[str, Value] = {}
     for sign in _SIGN.finditer(text):
         if sign[0] in ("==", "!=", "<=", ">="):
             continue
         if not (name := name_before(text, sign.start())):
             continue
-        parts, value, pos = [], [], sign.end()
+        value, pos, bare = Value(), sign.end(), []
         while t := _TERM.match(text, pos):
             group = t.lastindex
             if group == 4:  # a name: lead back to its literals, or take a bare word of a configuration line
                 known = constants.get(t[4].lstrip("*&$"))
                 if known is not None:
-                    parts += known[0]
-                    value += known[1]
+                    value.lead(known)
                 elif sign[0] in ("=", ":") and t[4][0] not in "*&$":
-                    parts.append((t.start(4), t.end(4), t[4]))
+                    bare.append((t.start(4), t.end(4), t[4]))
             elif group:
-                parts.append((t.start(group), t.end(group), t[group]))
-                value.append(parts[-1])
+                value.take(t.start(group), t.end(group), t[group], True)
             pos = t.end()
             if not (plus := _PLUS.match(text, pos)):
                 break
             pos = plus.end()
-        if parts:
-            if len(parts) == 1:
-                value = parts
-            constants[name] = parts, value
-            yield name, parts, value
+        alone = len(bare) == 1 and not value.literals and not value.names
+        for word in bare:
+            value.take(*word, alone)
+        if value.literals or value.names:
+            constants[name] = value
+            yield name, value
+
+
+def literal_spans(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of the literals that sensitive names lead back to.
+
+    Scores go from the names to the literals, last value first, over every link once: the work grows
+    with the text, however often values are joined to values."""
+    values = []
+    for name, value in literal_pairs(text):
+        values.append(value)
+        if weight := name_score(name):
+            value.weight = weight
+            value.whole = weight * value.score()
+    for value in reversed(values):
+        if not value.weight:
+            continue
+        for start, end, literal, joint in value.literals:
+            score = max(value.weight * literal_score(literal), value.whole if joint else 0.0)
+            if score >= THRESHOLD and end > start:
+                yield start, end, score
+        for earlier in value.names.values():
+            earlier.weight, earlier.whole = max(earlier.weight, value.weight), max(earlier.whole, value.whole)
 
 
 def scan(text: str | None) -> list[tuple[int, str, int, float]]:
-    """(start, kind, end, score) of all spans of a whole text, by start and then kind."""
+    """(start, kind, end, score) of all spans of a whole text, by start and then kind; none of a null or empty one."""
     if not text:
         return []
     found: dict[tuple[int, int, int], float] = {}
@@ -142,16 +202,8 @@ def scan(text: str | None) -> list[tuple[int, str, int, float]]:
     for m in HEX.finditer(text):
         found[m.start(), 2, m.end()] = 0.8
     if "=" in text or ":" in text:
-        for name, parts, joint in literal_pairs(text):
-            if (weight := name_score(name)) == 0:
-                continue
-            whole = literal_score("".join(x[2] for x in joint)) if len(joint) > 1 else 0.0
-            of_whole = set(joint) if whole else ()
-            for part in parts:
-                start, end, value = part
-                score = weight * max(literal_score(value), whole if part in of_whole else 0.0)
-                if score >= THRESHOLD and end > start:
-                    found[start, 3, end] = max(score, found.get((start, 3, end), 0.0))
+        for start, end, score in literal_spans(text):
+            found[start, 3, end] = max(score, found.get((start, 3, end), 0.0))
     return [(s, KINDS[k], e, v) for (s, k, e), v in sorted(found.items())]
 
 
@@ -180,7 +232,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             texts = b.column(1).to_pylist()
             found = [scan(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -194,15 +246,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, secrets array<struct<kind:string,start:long,end:long,score:double>>, redacted string")
+    out = rows.transform(arrow_map, run, f"id {kind}, secrets array<struct<kind:string,start:long,end:long,score:double>>, redacted string")
     return out.withColumnRenamed("id", id_col)
 
 
 def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The digest of a scan, made in the same map: id, n_assign, n_access, n_hex, n_literal, base_sha256, spans."""
+    """The digest of a scan, made in the same map: id, n_assign, n_access, n_hex, n_literal, base_sha256, spans.
+
+    A null or empty text has no spans: its counts are 0, spans is empty and base_sha256 that of nothing.
+    Repeated rows get equal results each; extra columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             cols: list[list] = [[], [], [], [], [], []]
             for text in b.column(1).to_pylist():
                 found = scan(text)
@@ -215,7 +270,7 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.transform(arrow_map, run, f"id {kind}, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -223,7 +278,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
     has one, counted anew where the text changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text_col))):
             at = b.schema.get_field_index(text_col)
             before = b.column(at).to_pylist()
             after = [redacted(t, scan(t)) for t in before]
@@ -234,7 +289,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
                 b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.column(k).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
