@@ -111,7 +111,7 @@ def scored_items(items: DataFrame, weights: DataFrame) -> DataFrame:
 
     weights: role, weights map<stat, weight>, one row per role."""
     value = F.aggregate(F.map_entries("stats"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("weights", e["key"]), F.lit(0.0)))
-    return items.join(F.broadcast(weights), "role").withColumn("score", F.round(value, 6)).drop("weights")
+    return items.join(small(weights), "role").withColumn("score", F.round(value, 6)).drop("weights")
 
 
 def upgrades(scored: DataFrame) -> DataFrame:
@@ -130,13 +130,13 @@ def empty_slots(items: DataFrame, slots: DataFrame) -> DataFrame:
     """(set_id, slot) of the slots in which a set wears nothing."""
     worn = items.groupBy("set_id").agg(F.collect_set(F.when(F.col("equipped"), F.col("slot"))).alias("worn"))
     every = slots.agg(F.sort_array(F.collect_list("slot")).alias("every"))
-    return worn.join(F.broadcast(every)).select("set_id", F.explode(F.array_except("every", "worn")).alias("slot"))
+    return worn.join(small(every)).select("set_id", F.explode(F.array_except("every", "worn")).alias("slot"))
 
 
 def first_rule_per_slot(rules: DataFrame, weights: DataFrame) -> DataFrame:
     """(role, slot, rule, stat, priority, rank): the first rule of each slot, best weighted stat first."""
     first = rules.withColumn("nth", F.row_number().over(Window.partitionBy("slot").orderBy("pos"))).where("nth = 1")
-    rows = weights.join(F.broadcast(first)).withColumn("priority", F.round(F.coalesce(F.try_element_at("weights", F.col("stat")), F.lit(0.0)), 2))
+    rows = weights.join(small(first)).withColumn("priority", F.round(F.coalesce(F.try_element_at("weights", F.col("stat")), F.lit(0.0)), 2))
     return rows.select("role", "slot", "rule", "stat", "priority", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("priority"), "pos")).cast("long").alias("rank"))
 
 
@@ -145,7 +145,7 @@ def first_rule_per_slot(rules: DataFrame, weights: DataFrame) -> DataFrame:
 
 def ranked_goals(catalog: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, category, r, id, minutes): what each class may collect, fastest first.  No classes: everybody."""
-    seen = catalog.join(F.broadcast(classes), (F.size("gate") == 0) | F.array_contains("gate", F.col("class")))
+    seen = catalog.join(small(classes), (F.size("gate") == 0) | F.array_contains("gate", F.col("class")))
     return seen.withColumn("r", F.row_number().over(Window.partitionBy("class", "category").orderBy("minutes", "id"))).select("class", "category", "r", "id", "minutes")
 
 
@@ -180,9 +180,9 @@ def briefing(mechanics: DataFrame, asked: DataFrame, difficulties: DataFrame, de
     """(boss_id, role, difficulty, section, pos, name, severity): an opening line, what concerns the whole
     group, then what concerns the role.  Group mechanics match every role, so they come in both sections
     unless dedupe is set.  asked: boss_id, role, difficulty."""
-    a = asked.join(F.broadcast(difficulties), "difficulty")
+    a = asked.join(small(difficulties), "difficulty")
     gate = difficulties.select(F.col("difficulty").alias("min_difficulty"), F.col("rank").alias("gate"))
-    m = a.join(mechanics, "boss_id").join(F.broadcast(gate), "min_difficulty").where(F.col("rank") >= F.col("gate"))
+    m = a.join(mechanics, "boss_id").join(small(gate), "min_difficulty").where(F.col("rank") >= F.col("gate"))
     opening = a.select("boss_id", "role", "difficulty", F.lit(0).alias("section"), F.lit(0).cast("long").alias("pos"), F.concat(F.col("role"), F.lit(" on "), F.col("difficulty")).alias("name"), F.lit("info").alias("severity"))
     cols = ["boss_id", "role", "difficulty"]
     shown = [F.col("pos"), F.col("name"), severity(F.col("scaling"), F.col("weight")).alias("severity")]

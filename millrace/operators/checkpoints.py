@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed and written to the folder that the session names in ``spark.checkpoint.dir``; a
-    folder of its own is made only where none is named.  A lost executor costs its running tasks only."""
+    """df, computed and written to the folder that the session names in ``spark.checkpoint.dir``.  A lost
+    executor costs its running tasks only.  Where no folder is named one is made on a local master; on a
+    cluster that is an error, as machines do not see each other's temporary folders."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint(eager=True)

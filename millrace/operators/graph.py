@@ -7,13 +7,16 @@ on all characters at once; iterations run to a fixed point with their state in c
 from __future__ import annotations
 
 import heapq
+import itertools
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.broadcasts import small
 from millrace.operators.checkpoints import settled
+from millrace.operators.groups import by_group
 
 BREADCRUMB = 3
 REPEATABLE = (6, 7, 8)
@@ -175,13 +178,16 @@ def ordered_subsets(chosen: DataFrame, quests: DataFrame) -> DataFrame:
     them, best type, level and id first.  A character's choice is a request: a few dozen quests."""
     rows = chosen.select("char_id", "quest_id").distinct().join(quests.select("quest_id", "quest_type", "required_level", "prerequisites"), "quest_id")
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = [((t, lv), q) for q, t, lv in zip(pdf["quest_id"].tolist(), pdf["quest_type"].tolist(), pdf["required_level"].tolist(), strict=True)]
-        links = [(pre, q) for q, pres in zip(pdf["quest_id"].tolist(), pdf["prerequisites"], strict=True) for pre in (pres if pres is not None else [])]
-        got = kahn(nodes, links)
-        return pd.DataFrame({"char_id": pdf["char_id"].iloc[0], "pos": range(1, len(got) + 1), "quest_id": got})
+    def make(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        who, quest, kind, level, before = (t.column(c).to_pylist() for c in ("char_id", "quest_id", "quest_type", "required_level", "prerequisites"))
+        out: list[tuple] = []
+        for lo, hi in itertools.pairwise(bounds.tolist()):
+            nodes = [((kind[k], level[k]), quest[k]) for k in range(lo, hi)]
+            links = [(pre, quest[k]) for k in range(lo, hi) for pre in before[k] or []]
+            out += [(who[lo], pos, q) for pos, q in enumerate(kahn(nodes, links), 1)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["char_id", "pos", "quest_id"])
 
-    return rows.groupBy("char_id").applyInPandas(order, "char_id long, pos long, quest_id long")
+    return by_group(rows, ["char_id"], ["quest_id"], "char_id long, pos long, quest_id long", make)
 
 
 def recommendations(judged: DataFrame, quests: DataFrame, characters: DataFrame, travel: DataFrame, limit: int = 10) -> DataFrame:

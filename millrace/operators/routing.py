@@ -7,14 +7,16 @@ use the same edges form a class, and routes are found once per class and origin.
 
 from __future__ import annotations
 
-import math
+import itertools
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.broadcasts import small
 from millrace.operators.checkpoints import settled
+from millrace.operators.groups import by_group
 
 #: How convenient each method is, best first.
 CONVENIENCE = {
@@ -48,13 +50,15 @@ def cheapest(network: DataFrame, key: list[str]) -> DataFrame:
     """(key..., origin, node, seconds, conv, path): the cheapest way from every node to every node reached.
 
     network: the edges of each key.  Ways are compared by cost, then convenience, then their names.
-    Every round makes all ways one edge longer and keeps the best per node; it ends when none got better."""
+    Every round makes all ways one edge longer and keeps the best per node; it ends when none got better.
+    A cheapest way has fewer edges than there are nodes, so more rounds mean a circle of negative cost,
+    which is an error."""
     hop = network.select(*key, F.col("source").alias("node"), F.col("target").alias("next"), F.struct(F.col("cost_seconds").alias("cost"), convenience(F.col("method")).alias("conv"), "name").alias("e"))
     near = small(settled(hop))
     starts = network.select(*key, F.col("source").alias("node")).unionByName(network.select(*key, F.col("target").alias("node"))).distinct()
     empty = F.struct(F.lit(0.0).alias("seconds"), F.lit(0).alias("conv"), F.expr("cast(array() as array<string>)").alias("path"))
     best = settled(starts.select(*key, F.col("node").alias("origin"), "node", empty.alias("way")))
-    while True:
+    for _ in range(starts.select("node").distinct().count() + 1):
         longer = best.join(near, [*key, "node"]).select(
             *key, "origin", F.col("next").alias("node"),
             F.struct((F.col("way.seconds") + F.col("e.cost")).alias("seconds"), (F.col("way.conv") + F.col("e.conv")).alias("conv"), F.array_append("way.path", F.col("e.name")).alias("path")).alias("way"),
@@ -64,6 +68,7 @@ def cheapest(network: DataFrame, key: list[str]) -> DataFrame:
         best = after
         if same:
             return best.select(*key, "origin", "node", "way.seconds", "way.conv", "way.path")
+    raise ValueError("the network has a circle of negative cost")
 
 
 def by_capability(edges: DataFrame, travellers: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def alternatives(network: DataFrame, requests: DataFrame, limit: int = 3) -> Dat
     one search per banned edge, not per request."""
     best = cheapest(network.withColumn("banned", F.lit("")), ["banned"]).join(requests.select("origin", F.col("destination").alias("node")).distinct(), ["origin", "node"])
     cost = network.select(F.col("name").alias("banned"), F.col("cost_seconds").alias("cost"))
-    bans = best.select("origin", "node", F.col("path").alias("first"), F.posexplode("path").alias("pos", "ban")).join(F.broadcast(cost.withColumnRenamed("banned", "ban")), "ban")
+    bans = best.select("origin", "node", F.col("path").alias("first"), F.posexplode("path").alias("pos", "ban")).join(small(cost.withColumnRenamed("banned", "ban")), "ban")
     bans = settled(bans)
     names = bans.select(F.col("ban").alias("banned")).distinct()
     kept = network.join(small(names), network["name"] != names["banned"])
@@ -103,7 +108,7 @@ def alternatives(network: DataFrame, requests: DataFrame, limit: int = 3) -> Dat
 
 def route_steps(routes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """(key..., pos, name, seconds, total): the edges of each route's path with their running sum."""
-    steps = routes.select(*key, F.posexplode("path").alias("pos", "name")).join(F.broadcast(edges.select("name", F.col("cost_seconds").alias("seconds"))), "name")
+    steps = routes.select(*key, F.posexplode("path").alias("pos", "name")).join(small(edges.select("name", F.col("cost_seconds").alias("seconds"))), "name")
     w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumn("total", F.sum("seconds").over(w)).withColumn("pos", F.col("pos").cast("long"))
 
@@ -123,39 +128,55 @@ def requirement_text(faction: Column, min_level: Column) -> Column:
 # ---------------------------------------------------------------- tours of points
 
 
-def nearest_neighbour(points: list[tuple[float, float]]) -> list[int]:
-    """Places in an order that starts at the first and always goes on to the nearest left, the earlier on ties."""
-    left, out = list(range(len(points))), []
-    at = points[0] if points else (0.0, 0.0)
-    while left:
-        k = min(left, key=lambda i: (math.hypot(points[i][0] - at[0], points[i][1] - at[1]), i))
-        left.remove(k)
-        out.append(k)
-        at = points[k]
+def nearest_neighbours(xy: np.ndarray) -> np.ndarray:
+    """Orders of many tours of equal size, (tours, places) from (tours, places, 2): each starts at its first
+    place and always goes on to the nearest left, the earlier on ties."""
+    g, n = xy.shape[:2]
+    tour, left, at = np.arange(g), np.ones((g, n), dtype=bool), xy[:, 0]
+    out = np.empty((g, n), dtype=np.int64)
+    for k in range(n):
+        gap = np.hypot(xy[:, :, 0] - at[:, None, 0], xy[:, :, 1] - at[:, None, 1])
+        gap[~left] = np.inf
+        out[:, k] = gap.argmin(axis=1)
+        left[tour, out[:, k]] = False
+        at = xy[tour, out[:, k]]
     return out
 
 
-def length(points: list[tuple[float, float]], order: list[int]) -> float:
-    return sum(math.hypot(points[a][0] - points[b][0], points[a][1] - points[b][1]) for a, b in zip(order, order[1:], strict=False))
+def legs(xy: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The way to each place of the tours from the one before; 0 to the first."""
+    p = np.take_along_axis(xy, order[:, :, None], axis=1)
+    way = np.zeros(order.shape)
+    way[:, 1:] = np.hypot(*np.moveaxis(p[:, 1:] - p[:, :-1], 2, 0))
+    return way
 
 
-def two_opt(points: list[tuple[float, float]], order: list[int]) -> list[int]:
-    """Reverse runs of the order while that makes it shorter; the first place stays.  Tours of fewer than 4
-    or more than TWO_OPT_LIMIT places stay as they are."""
-    if not 4 <= len(order) <= TWO_OPT_LIMIT:
+def two_opt(xy: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The orders with runs reversed while that makes a tour shorter; first places stay.  Tours of fewer than
+    4 or more than TWO_OPT_LIMIT places stay as they are."""
+    n = order.shape[1]
+    if not 4 <= n <= TWO_OPT_LIMIT:
         return order
-    gap = lambda a, b: math.hypot(points[a][0] - points[b][0], points[a][1] - points[b][1])
-    order = list(order)
+    order = order.copy()
+    p = np.take_along_axis(xy, order[:, :, None], axis=1)
+    gap = lambda q, a, b: np.hypot(q[:, a, 0] - q[:, b, 0], q[:, a, 1] - q[:, b, 1])
+    live = np.arange(len(order))
     for _ in range(TWO_OPT_PASSES):
-        better = False
-        for i in range(1, len(order) - 1):
-            for j in range(i + 1, len(order)):
-                old = gap(order[i - 1], order[i]) + (gap(order[j], order[j + 1]) if j + 1 < len(order) else 0.0)
-                new = gap(order[i - 1], order[j]) + (gap(order[i], order[j + 1]) if j + 1 < len(order) else 0.0)
-                if new < old - 1e-9:
-                    order[i : j + 1] = order[i : j + 1][::-1]
-                    better = True
-        if not better:
+        better = np.zeros(len(live), dtype=bool)
+        q, o = p[live], order[live]
+        for i in range(1, n - 1):
+            for j in range(i + 1, n):
+                gain = gap(q, i - 1, i) - gap(q, i - 1, j)
+                if j + 1 < n:
+                    gain += gap(q, j, j + 1) - gap(q, i, j + 1)
+                hit = np.flatnonzero(gain > 1e-9)
+                if len(hit):
+                    q[hit, i : j + 1] = q[hit, i : j + 1][:, ::-1]
+                    o[hit, i : j + 1] = o[hit, i : j + 1][:, ::-1]
+                    better[hit] = True
+        p[live], order[live] = q, o
+        live = live[better]
+        if not len(live):
             break
     return order
 
@@ -163,40 +184,52 @@ def two_opt(points: list[tuple[float, float]], order: list[int]) -> list[int]:
 def tours(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., pos, point_id, distance): each group's points in touring order, with the way from the one before.
 
-    points: keys, ord, point_id, x, y.  A group is what one traveller visits in one zone: dozens of points."""
-    schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    points: keys, ord, point_id, x, y.  A group is what one traveller visits in one zone: dozens of points.
+    Groups of equal size are toured together, in arrays."""
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "point_id"], ignore_index=True)
-        at = list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True))
-        got = two_opt(at, nearest_neighbour(at))
-        way = [0.0] + [math.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1]) for a, b in zip(got, got[1:], strict=False)]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "pos": range(1, len(got) + 1), "point_id": pdf["point_id"].iloc[got].to_numpy(), "distance": way})
+    def make(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        xy = np.stack([t.column(c).to_numpy().astype(np.float64) for c in ("x", "y")], axis=1)
+        sizes = np.diff(bounds)
+        take, way = np.empty(len(xy), dtype=np.int64), np.empty(len(xy))
+        for n in np.unique(sizes):
+            at = bounds[:-1][sizes == n][:, None] + np.arange(n)
+            here = xy[at]
+            order = two_opt(here, nearest_neighbours(here))
+            take[at], way[at] = np.take_along_axis(at, order, axis=1), legs(here, order)
+        pos = np.arange(len(xy)) - np.repeat(bounds[:-1], sizes) + 1
+        columns = [*(t.column(k).combine_chunks() for k in keys), pa.array(pos), t.column("point_id").combine_chunks().take(pa.array(take)), pa.array(way)]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "pos", "point_id", "distance"])
 
-    return points.select(*keys, "ord", "point_id", "x", "y").groupBy(*keys).applyInPandas(order, f"{schema}, pos long, point_id {points.schema['point_id'].dataType.simpleString()}, distance double")
+    kinds = {k: points.schema[k].dataType.simpleString() for k in [*keys, "point_id"]}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "pos long", f"point_id {kinds['point_id']}", "distance double"])
+    return by_group(points.select(*keys, "ord", "point_id", "x", "y"), keys, ["ord", "point_id"], schema, make)
 
 
 def zone_order(zones: DataFrame, costs: DataFrame, unreachable: float = 600.0) -> DataFrame:
-    """(char_id, pos, map_id, seconds): the zones of each plan, greedily the cheapest next.
+    """(char_id, pos, map_id, seconds): the zones of each plan, greedily the cheapest next, the smaller on ties.
 
     zones: char_id, map_id, origin, faction, grown.  costs: (faction, grown, origin, node, seconds).
     A plan's zones are few; they meet with the costs between them in one group per character."""
     pairs = zones.select("char_id", "faction", "grown", F.col("map_id").alias("node"), F.col("origin").alias("start"))
     sources = pairs.select("char_id", F.col("node").alias("origin")).unionByName(pairs.select("char_id", F.col("start").alias("origin"))).distinct()
-    legs = pairs.join(sources, "char_id").join(F.broadcast(costs.select("faction", "grown", "origin", "node", "seconds")), ["faction", "grown", "origin", "node"], "left")
+    legs = pairs.join(sources, "char_id").join(small(costs.select("faction", "grown", "origin", "node", "seconds")), ["faction", "grown", "origin", "node"], "left")
     known = legs.select("char_id", "start", "origin", "node", F.coalesce("seconds", F.lit(unreachable)).alias("seconds"))
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = {(a, b): s for a, b, s in zip(pdf["origin"].tolist(), pdf["node"].tolist(), pdf["seconds"].tolist(), strict=True)}
-        left, at, out = set(pdf["node"].tolist()), pdf["start"].iloc[0], []
-        while left:
-            nxt = min(left, key=lambda z: (0.0 if z == at else cost[at, z], z))
-            out.append((nxt, 0.0 if nxt == at else cost[at, nxt]))
-            left.remove(nxt)
-            at = nxt
-        return pd.DataFrame({"char_id": pdf["char_id"].iloc[0], "pos": range(1, len(out) + 1), "map_id": [z for z, _ in out], "seconds": [s for _, s in out]})
-
-    return known.groupBy("char_id").applyInPandas(order, f"char_id long, pos long, map_id {zones.schema['map_id'].dataType.simpleString()}, seconds double")
+    def make(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        who, start, origin, node, seconds = (t.column(c).to_pylist() for c in ("char_id", "start", "origin", "node", "seconds"))
+        out: list[tuple] = []
+        for lo, hi in itertools.pairwise(bounds.tolist()):
+            cost = {(origin[k], node[k]): seconds[k] for k in range(lo, hi)}
+            left, at, pos = set(node[lo:hi]), start[lo], 0
+            while left:
+                way, at = min((0.0 if z == at else cost[at, z], z) for z in left)
+                left.remove(at)
+                out.append((who[lo], pos := pos + 1, at, way))
+        columns = list(zip(*out, strict=True))
+        kinds = [t.column("char_id").type, pa.int64(), t.column("node").type, pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["char_id", "pos", "map_id", "seconds"])
+
+    return by_group(known, ["char_id"], ["node", "origin"], f"char_id {zones.schema['char_id'].dataType.simpleString()}, pos long, map_id {zones.schema['map_id'].dataType.simpleString()}, seconds double", make)
 
 
 # ---------------------------------------------------------------- waypoint texts

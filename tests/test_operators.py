@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import semistructured as S
@@ -83,16 +84,47 @@ def test_alternatives_differ(spark):
     assert [(r["seconds"], r["path"]) for r in rows] == [(10.0, ["0-1", "1-2"]), (12.0, ["0-3", "3-2"])]
 
 
-def test_tours():
+def walked(points):
+    """The same tour, place by place: the nearest next, then runs reversed while that helps."""
+    gap = lambda a, b: math.hypot(points[a][0] - points[b][0], points[a][1] - points[b][1])
+    order, left = [0], set(range(1, len(points)))
+    while left:
+        order.append(min(left, key=lambda k: (gap(order[-1], k), k)))
+        left.remove(order[-1])
+    length = lambda o: sum(gap(a, b) for a, b in itertools.pairwise(o))
+    for _ in range(routing.TWO_OPT_PASSES if 4 <= len(order) <= routing.TWO_OPT_LIMIT else 0):
+        before = list(order)
+        for i, j in itertools.combinations(range(1, len(order)), 2):
+            other = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+            order = other if length(other) < length(order) - 1e-9 else order
+        if order == before:
+            break
+    return order
+
+
+def test_tours(spark):
     r = random.Random(5)
-    for n in (0, 1, 3, 4, 12, 70):
-        points = [(r.random(), r.random()) for _ in range(n)]
-        first = routing.nearest_neighbour(points)
-        order = routing.two_opt(points, first)
-        assert sorted(order) == list(range(n)) and order[:1] == first[:1]
-        assert routing.length(points, order) <= routing.length(points, first) + 1e-9
-    square = [(0, 0), (1, 1), (1, 0), (0, 1)]
-    assert routing.length(square, routing.two_opt(square, [0, 1, 2, 3])) == 3.0
+    groups = {(k, None if k % 7 == 0 else "z"): [(r.random(), r.random()) for _ in range(n)] for k, n in enumerate([1, 2, 3, 4, 4, 5, 8, 12, 30, 70, 1, 4])}
+    groups[99, "z"] = [(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0)]
+    groups[98, "z"] = [(0.5, 0.5)] * 5
+    rows = [(c, z, k, f"p{k}", x, y) for (c, z), points in groups.items() for k, (x, y) in enumerate(points)]
+    df = spark.createDataFrame(rows, "char_id long, zone string, ord int, point_id string, x double, y double").repartition(5)
+    got = {}
+    for t in routing.tours(df, ["char_id", "zone"]).orderBy("char_id", "pos").collect():
+        got.setdefault((t["char_id"], t["zone"]), []).append((int(t["point_id"][1:]), t["distance"]))
+    assert got.keys() == groups.keys()
+    for key, points in groups.items():
+        want = walked(points)
+        assert [k for k, _ in got[key]] == want, key
+        assert [d for _, d in got[key]] == pytest.approx([0.0] + [math.hypot(points[a][0] - points[b][0], points[a][1] - points[b][1]) for a, b in itertools.pairwise(want)])
+    assert sum(d for _, d in got[99, "z"]) == pytest.approx(3.0)
+    assert routing.tours(df.where("false"), ["char_id", "zone"]).count() == 0
+
+
+def test_circles_of_negative_cost_are_an_error(spark):
+    edges = spark.createDataFrame([("x", 1, 2, "walk", 5.0, "a"), ("x", 2, 1, "walk", -6.0, "b")], "kind string, source int, target int, method string, cost_seconds double, name string")
+    with pytest.raises(ValueError, match="negative"):
+        routing.cheapest(edges, ["kind"])
 
 
 def test_ways_round_trip(spark):
