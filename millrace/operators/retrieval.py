@@ -17,6 +17,12 @@ WEIGHTS = {"strength": 0.45, "corroboration": 0.25, "authority": 0.20, "agreemen
 CONTEXT_CHARS = 24_000
 
 
+def together(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text dealt by id.  Texts move once, and whatever is counted per text afterwards, of its many
+    times larger lists of terms and pairs, is counted where it is made."""
+    return df.select(id_col, text_col).repartition(id_col)
+
+
 def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term): each distinct token of each text, as an inverted index has it."""
     return df.select(id_col, F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("term"))
@@ -25,27 +31,34 @@ def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def lexical_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question", doc_text: str = "body") -> DataFrame:
     """(query_id, doc_id, lexical_score): share of the query's distinct tokens that the document has.
 
-    Only documents with a token of the query are reached, through the join on the term."""
+    The queries' terms go to the documents if they are few enough, so no term gathers its documents."""
     wanted = terms(queries, "query_id", query_text)
     size = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    hits = wanted.join(terms(docs, "doc_id", doc_text), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_hits"))
-    return hits.join(size, "query_id").select("query_id", "doc_id", (F.col("n_hits") / F.col("n_terms")).alias("lexical_score"))
+    hits = terms(together(docs, "doc_id", doc_text), "doc_id", doc_text).join(small(wanted), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_hits"))
+    return hits.join(small(size), "query_id").select("query_id", "doc_id", (F.col("n_hits") / F.col("n_terms")).alias("lexical_score"))
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf) of each text's tokens and pairs of neighbouring tokens."""
+    words = T.tokens(F.col(text_col))
+    return together(df, id_col, text_col).select(id_col, F.explode(F.concat(words, T.bigrams(words))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 512) -> DataFrame:
     """(id, bucket, w): sparse unit vectors of signed hash buckets of tokens and token pairs, 1 + ln(tf) each."""
-    words = T.tokens(F.col(text_col))
-    tf = df.select(id_col, F.explode(F.concat(words, T.bigrams(words))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    by_bucket = tf.groupBy(id_col, T.bucket(F.col("term"), dim).alias("bucket")).agg(F.sum(T.bucket_sign(F.col("term")) * (1 + F.ln("tf"))).alias("w"))
+    weighed = term_counts(df, id_col, text_col).select(id_col, T.bucket(F.col("term"), dim).alias("bucket"), (T.bucket_sign(F.col("term")) * (1 + F.ln("tf"))).alias("w"))
+    by_bucket = weighed.groupBy(id_col, "bucket").agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return by_bucket.withColumn("norm", norm).where("norm > 0").select(id_col, "bucket", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def dense_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question", doc_text: str = "body", dim: int = 512) -> DataFrame:
-    """(query_id, doc_id, vector_score): cosine of hashed embeddings, not below 0."""
+    """(query_id, doc_id, vector_score): cosine of hashed embeddings, not below 0.
+
+    The queries' vectors go to the documents if they are few enough, so no bucket gathers its documents."""
     q = hashed_embedding(queries, "query_id", query_text, dim).withColumnRenamed("w", "qw")
     d = hashed_embedding(docs, "doc_id", doc_text, dim).withColumnRenamed("w", "dw")
-    dot = q.join(d, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
+    dot = d.join(small(q), "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
     return dot.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.round("dot", 6)).alias("vector_score"))
 
 

@@ -224,8 +224,7 @@ def buckets(spark, sf):
 @query("a19_term_frequency", f"""WITH g AS (SELECT doc_id, unnest({_GRAMS}) AS term FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents))
 SELECT doc_id, term, count(*) AS tf, round(1 + ln(count(*)), 6) AS weight FROM g GROUP BY doc_id, term""")
 def term_frequency(spark, sf):
-    words = T.tokens(F.col("text"))
-    tf = table(spark, sf, "documents").select("doc_id", F.explode(F.concat(words, T.bigrams(words))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = R.term_counts(table(spark, sf, "documents"), "doc_id", "text")
     return tf.withColumn("weight", F.round(1 + F.ln("tf"), 6))
 
 
