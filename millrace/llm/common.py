@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,14 +32,26 @@ def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no more
     than the tasks it ran.  The folder is the session's; one is made only on a local master, as a
     cluster's machines do not see each other's temporary folders."""
-    spark = df.sparkSession
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, in a compressed table: for many rows of few columns that repeat along the rows."""
+    spark = df.sparkSession
+    _folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, _BASE, _RANDOM, _UNBASE, _powers, chunks, load, mixed, settled
+from millrace.llm.common import _BASE, _RANDOM, _UNBASE, _powers, arrow_map, chunks, load, mixed, slices, stored, word_hashes, words_of
 
 SPAN = 400
 GRAM = 32
 SHARD_BYTES = 1_500_000
+PASSAGE_WORDS = 51
+PASSAGE_GRAM = 20
 
 
 # ---------------------------------------------------------------- suffix arrays by induced sorting
@@ -204,6 +206,18 @@ def repeated_starts(segments: list[bytes], span: int = SPAN) -> list[np.ndarray]
 # ---------------------------------------------------------------- anchors and segments
 
 
+def _least(keys: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each run of w keys."""
+    blocks = -(-len(keys) // w)
+    padded = np.full(blocks * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[: len(keys)] = keys
+    grid = padded.reshape(blocks, w)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    starts = len(keys) - w + 1
+    return np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts])
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> dict[str, np.ndarray]:
     """The segments of some texts: document, anchor and segment prints, start, number of strings, lead of the anchor."""
     n, w = len(data), span - gram + 1
@@ -216,14 +230,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     grams = mixed((summed[gram:] - summed[:-gram]) * back[: n - gram + 1])
     low = np.uint64((1 << 30) - 1)
     keys = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    blocks = -(-len(keys) // w)
-    padded = np.full(blocks * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[: len(keys)] = keys
-    grid = padded.reshape(blocks, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - span + 1
-    least = (np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts]) & low).astype(np.int64)
+    least = (_least(keys, w) & low).astype(np.int64)
     whole = np.zeros(starts + 1, dtype=np.int64)  # strings that lie within a document
     sizes = np.diff(offsets)
     for b, s in zip(offsets[:-1][sizes >= span], sizes[sizes >= span], strict=True):
@@ -243,6 +251,49 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     return {"doc": doc[new], "anchor": grams[pos].view(np.int64), "print": prints.view(np.int64), "start": first - offsets[doc[new]], "count": count, "lead": pos - first}
 
 
+def passage_marks(data: np.ndarray, offsets: np.ndarray, words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct marks of some texts: of every run of ``words`` words the smallest hashed
+    run of PASSAGE_GRAM words in it.  Equal runs of ``words`` words have an equal mark."""
+    starts, ends, doc = words_of(data, offsets)
+    n = len(starts)
+    if n < words:
+        return doc[:0], np.zeros(0, np.uint64)
+    summed = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(word_hashes(data, starts, ends) * _powers(_BASE, n), out=summed[1:])
+    grams = mixed((summed[PASSAGE_GRAM:] - summed[:-PASSAGE_GRAM]) * _powers(_UNBASE, n - PASSAGE_GRAM + 1))
+    low = np.uint64((1 << 32) - 1)
+    least = (_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), words - PASSAGE_GRAM + 1) & low).astype(np.int64)
+    at = np.unique(least[doc[: n - words + 1] == doc[words - 1 :]])
+    by = np.lexsort((grams[at], doc[at]))
+    doc, grams = doc[at][by], grams[at][by]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])][: len(doc)]
+    return doc[new], grams[new]
+
+
+def _mark_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.StructArray.from_arrays([b.column(0), b.column(1)], ["id", "th"])
+            for part, data, offsets in chunks(keys, b.column(2)):
+                doc, h = passage_marks(data, offsets, words)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([*part.take(pa.array(doc)).flatten(), pa.array(h.view(np.int64))], ["id", "th", "h"])
+
+    return run
+
+
+def shared_passages(texts: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, th, n): how many marks of texts (id, th, text) stand in another row too; rows without any are left out.
+
+    A passage of ``words`` words that two rows share has a mark that both have.  A mark is a run of
+    PASSAGE_GRAM words, so shorter shared runs are not found and those between may be.  Rows that
+    are equal in id and text are summed."""
+    kind = texts.schema["id"].dataType.simpleString()
+    marks = texts.transform(arrow_map, _mark_rows(words), f"id {kind}, th long, h long")
+    often = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")  # a row has a mark once
+    return marks.join(often, "h").groupBy("id", "th").agg(F.count("*").alias("n"))
+
+
 def _anchor_rows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,48 +353,50 @@ def _shards(span: int):
 
 def _remove(span: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                out: list[list] = [[], [], [], [], []]
-                for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    removed = []
-                    for r in sorted((r["lo"], r["hi"]) for r in runs or []):
-                        if removed and r[0] <= removed[-1][1]:
-                            removed[-1][1] = max(removed[-1][1], r[1] + span)
-                        else:
-                            removed.append([r[0], r[1] + span])
-                    kept, at = [], 0
-                    for lo, hi in removed:
-                        kept.append(raw[at:lo])
-                        at = hi
-                    left = b"".join([*kept, raw[at:]])
-                    values = (len(raw), len(raw) - len(left), len(removed), hashlib.sha256(left).hexdigest(), None if text is None or not with_text else left.decode("utf-8", "replace"))
-                    for c, v in zip(out, values, strict=True):
-                        c.append(v)
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            out: list[list] = [[], [], [], [], [], []]
+            for text, runs, marks in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                removed = []
+                for r in sorted((r["lo"], r["hi"]) for r in runs or []):
+                    if removed and r[0] <= removed[-1][1]:
+                        removed[-1][1] = max(removed[-1][1], r[1] + span)
+                    else:
+                        removed.append([r[0], r[1] + span])
+                kept, at = [], 0
+                for lo, hi in removed:
+                    kept.append(raw[at:lo])
+                    at = hi
+                left = b"".join([*kept, raw[at:]])
+                values = (len(raw), len(raw) - len(left), len(removed), hashlib.sha256(left).hexdigest(), marks or 0, None if text is None or not with_text else left.decode("utf-8", "replace"))
+                for c, v in zip(out, values, strict=True):
+                    c.append(v)
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_passages", "kept_text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = True, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_passages, kept_text) for every row of docs.
 
     Every byte is removed that lies in a string of ``span`` bytes (at least GRAM) which also starts
     elsewhere in docs.  Rows that repeat an id, or a whole row, are documents of their own, so a row
     given twice is repeated.  A null text is empty and its kept_text null; shorter texts lose nothing.
     Where removal cuts a character, kept_text has replacement characters; kept_sha256 is of the bytes.
+    n_shared_passages reports, and removes nothing: the marks of passages that another row has too.  It
+    is above 0 wherever ``passage_words`` words (A-Z lower-cased, blanks alike) stand in another row,
+    which may well be fewer than ``span`` bytes, and 0 where no PASSAGE_GRAM words do.
     Extra columns are not looked at."""
-    if span <= GRAM:
-        raise ValueError(f"span must be above {GRAM}")
+    if not GRAM < span < 65536:
+        raise ValueError(f"span must be above {GRAM} and below 65536")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = settled(texts.transform(arrow_map, _anchor_rows(span), f"id {kind}, th long, anchor long, print long, start long, count long"))
-    segments = settled(
-        found.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "count")).alias("at"))
-        .withColumn("count", F.col("at.count"))
+    found = stored(texts.transform(arrow_map, _anchor_rows(span), f"id {kind}, th long, anchor long, print long, start long, count long"))
+    spot = F.shiftleft("start", 16) + F.col("count")  # a segment has at most span strings
+    segments = stored(
+        found.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", spot.alias("spot"))).alias("at"))
+        .select("anchor", "print", "n", F.struct("at.id", "at.th", F.shiftright("at.spot", 16).alias("start")).alias("at"), F.col("at.spot").bitwiseAND(65535).alias("count"))
     )
     several = segments.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     wanted = (
@@ -359,14 +412,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = segments.where("n > 1").select("anchor", "print", F.lit(0).cast("long").alias("lo"), (F.col("count") - 1).alias("hi"))
     single = segments.where("n = 1").select("anchor", "print")
     marked = copies.unionByName(marks.join(single, ["anchor", "print"], "left_semi"))
+    repeats = found.join(marked, ["anchor", "print"]).select("id", "th", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("run"))
     runs = (
-        found.join(marked, ["anchor", "print"])
-        .groupBy("id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("runs"))
+        repeats.unionByName(shared_passages(texts, passage_words), allowMissingColumns=True)
+        .groupBy("id", "th").agg(F.collect_list("run").alias("runs"), F.max("n").alias("marks"))
         .withColumnsRenamed({"id": "rid", "th": "rth"})
     )
     joined = texts.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
-    out = joined.select("id", "text", "runs").transform(arrow_map, _remove(span, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_passages long, kept_text string"
+    return joined.select("id", "text", "runs", "marks").transform(arrow_map, _remove(span, with_text), schema).withColumnRenamed("id", id_col)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

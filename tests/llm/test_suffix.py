@@ -84,3 +84,29 @@ def test_repeated_rows_and_empty(spark, empty):
     assert X.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
         X.remove_repeats(df, span=10)
+
+
+def test_shared_passages(spark, rows):
+    """Every document with a passage of 51 words that another has is reported, none without a run of PASSAGE_GRAM words that another has."""
+    r = random.Random(9)
+    base = [w for _, t in rows if t for w in t.split()] or ["w"]
+    passage = [r.choice(base) + str(k) for k in range(60)]
+    docs = [(d, t) for d, t in rows]
+    docs += [(2000 + k, " ".join([f"a{k}x{j}" for j in range(30)] + passage[k % 3 : 55] + [f"b{k}x{j}" for j in range(20)])) for k in range(6)]
+    docs += [(3000, " ".join([f"c{j}" for j in range(80)])), (3001, " ".join([f"c{j}" for j in range(25)] + [f"d{j}" for j in range(80)]))]
+    docs += [(4000, " ".join(passage[55:60] * 40)), (5000, " ".join(f"e{j}" for j in range(60)))] + [(5001, " ".join(f"e{j}" for j in range(60)))] * 2
+
+    def shared(size):
+        seen, out = {}, set()
+        for k, (_, t) in enumerate(docs):
+            w = (t or "").lower().split()
+            for i in range(len(w) - size + 1):
+                first = seen.setdefault(tuple(w[i : i + size]), k)
+                if first != k:
+                    out |= {first, k}
+        return {docs[k][0] for k in out}
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["n_shared_passages"] for x in X.remove_repeats(df).collect()}
+    found = {d for d, n in got.items() if n}
+    assert shared(51) <= found <= shared(X.PASSAGE_GRAM) and {2000, 2003, 5000, 5001} <= found and 3000 not in found
