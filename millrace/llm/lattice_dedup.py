@@ -1,20 +1,27 @@
 """Near-duplicate embeddings by lattice hashing.
 
-Each of TABLES tables projects a unit vector at random onto BLOCKS eight-dimensional blocks, scales it
-and decodes every block to the nearest point of the E8 lattice; the points together are its cell.  A
-vector is listed in its home cell and in the PROBES neighbouring cells that it lies nearest to, so
-that vectors on two sides of a border meet.  In a cell every pair with a home there is verified by its
-cosine in double precision.
-
-Equal vectors are one class with a multiplicity.  Inside a cell links are counted, not listed: a pair
-counts in the first table in which both have the same home, and only pairs that meet through probes
-alone are emitted and made distinct.  A cell with many members is split into blocks that meet pairwise
-in tasks of their own.  Components come from one edge per linked vector and cell.
+Each of several tables projects a unit vector at random onto eight-dimensional blocks, scales it and
+decodes every block to the nearest point of the E8 lattice; the points together are its cell.  A vector
+is listed in its home cell and in the PROBES neighbouring cells that it lies nearest to, so that vectors
+on two sides of a border meet.  In a cell every pair with a home there is verified by its cosine in
+double precision.
+
+A block more makes the chance that two unrelated vectors meet in a table about 30 times smaller, and
+that of two with cosine 0.9 about 2.4 times.  So blocks grow with the logarithm of the number of
+vectors, to keep the cells' size, and tables with the blocks, to keep the recall (``plan``): the share
+of all pairs that is verified falls as the table grows, the listings of a vector grow.
+
+Equal vectors are one class with a multiplicity, known by a number of its own, as ids may repeat or be
+null.  Links are counted inside the cells, none is listed: a pair counts in the first table in which
+both have the same home, or, if there is none, in the first in which one has a probe at the other's
+home.  A cell with many members is split into blocks that meet pairwise in tasks of their own.
+Components come from one edge per linked vector and cell.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +31,24 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, components, load, mixed, settled
 
-TABLES = 16
-BLOCKS = 2
 PROBES = 3
 SCALE = 0.3  # of a cell, for 64 dimensions
 BLOCK = 512
+FEWEST_BLOCKS = 2
+#: Up to so many vectors there are no more blocks, and BLOCK_FACTOR times as many for each further one.
+FIRST_STEP = 100_000
+BLOCK_FACTOR = 30
+#: The chance of a pair with cosine 0.9 to meet in a table of two blocks, and its factor for each further one.
+MEETS, MEETS_FACTOR = 0.41, 0.42
+MISSED = 5e-4
+
+
+def plan(rows: int) -> tuple[int, int]:
+    """(tables, blocks) for so many vectors."""
+    blocks = FEWEST_BLOCKS
+    while rows > FIRST_STEP * BLOCK_FACTOR ** (blocks - FEWEST_BLOCKS):
+        blocks += 1
+    return math.ceil(math.log(MISSED) / math.log1p(-MEETS * MEETS_FACTOR ** (blocks - FEWEST_BLOCKS))), blocks
 
 
 def _roots() -> np.ndarray:
@@ -68,7 +88,7 @@ def unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells(x: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
+def cells(x: np.ndarray, tables: int, blocks: int, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
     """(rows, tables, 1 + probes) keys of the home cell and the nearest neighbouring cells."""
     n, d = x.shape
     out = np.empty((n, tables, 1 + probes), dtype=np.int64)
@@ -95,20 +115,22 @@ def cells(x: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, probes: int
     return out
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, 2000):
-            part = b.slice(k, 2000)
-            vectors = part.column("vector").to_pylist()
-            sizes = np.array([len(v) for v in vectors])
-            keys = np.empty((len(vectors), TABLES, 1 + PROBES), dtype=np.int64)
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                keys[at] = cells(unit([vectors[i] for i in at]))
-            n = len(vectors)
-            homes = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TABLES), pa.array(keys[:, :, 0].ravel()))
-            near = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TABLES * PROBES), pa.array(keys[:, :, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("m"), part.column("vector"), homes.cast(pa.list_(pa.int64())), near.cast(pa.list_(pa.int64()))], ["id", "m", "vector", "homes", "near"])
+def _listed(tables: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                vectors = part.column(part.num_columns - 1).to_pylist()
+                sizes = np.array([len(v) for v in vectors])
+                n, keys = len(vectors), np.empty((len(vectors), tables, 1 + PROBES), dtype=np.int64)
+                for d in np.unique(sizes):
+                    at = np.flatnonzero(sizes == d)
+                    keys[at] = cells(unit([vectors[i] for i in at]), tables, blocks)
+                homes = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(keys[:, :, 0].ravel()))
+                near = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables * PROBES), pa.array(keys[:, :, 1:].ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, homes.cast(pa.list_(pa.int64())), near.cast(pa.list_(pa.int64()))], [*part.schema.names, "homes", "near"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -127,12 +149,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield kept
 
 
-def _verify(threshold: float):
+def _counted_here(cell: int, homes_a: np.ndarray, homes_b: np.ndarray, near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
+    """Whether ``cell`` is where pairs that share no home count: the home of the pair's first vector in the first
+    table in which one has a probe at the other's home, or else that of its second."""
+    at_a, at_b = (near_b == homes_a[:, :, None]).any(axis=2), (near_a == homes_b[:, :, None]).any(axis=2)
+    first = (at_a | at_b).argmax(axis=1)
+    pair = np.arange(len(first))
+    return np.where(at_a[pair, first], homes_a[pair, first], homes_b[pair, first]) == cell
+
+
+def _verify(threshold: float, blocks: int):
+    """(key, n, other): in each cell the links of every vector that count there, and one vector it is linked with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             cell, bi, bj = (t.column(c).to_numpy() for c in ("cell", "bi", "bj"))
-            ids, m, block, home = (t.column(c).to_numpy() for c in ("id", "m", "block", "home"))
-            homes = t.column("homes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            keys, m, block, home = (t.column(c).to_numpy() for c in ("key", "m", "block", "home"))
+            homes = t.column("homes").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
             vectors = t.column("vector").combine_chunks()
             sizes = np.diff(vectors.offsets.to_numpy())
             flat, at = vectors.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
@@ -141,41 +174,45 @@ def _verify(threshold: float):
             for lo, hi in itertools.pairwise(edge):
                 if hi - lo < 2 or not home[lo:hi].any():
                     continue
-                if (sizes[lo:hi] == sizes[lo]).all():
-                    x = unit(flat[at[lo] : at[hi]].reshape(hi - lo, -1))
-                    near = x @ x.T >= threshold
-                else:  # keys of two lengths that happen to be equal
-                    near = np.zeros((hi - lo, hi - lo), dtype=bool)
-                    for d in np.unique(sizes[lo:hi]):
-                        of = np.flatnonzero(sizes[lo:hi] == d)
-                        x = unit([flat[at[lo + i] : at[lo + i + 1]] for i in of])
-                        near[np.ix_(of, of)] = x @ x.T >= threshold
+                near = np.zeros((hi - lo, hi - lo), dtype=bool)
+                for d in np.unique(sizes[lo:hi]):  # one but for keys of two lengths that happen to be equal
+                    of = np.flatnonzero(sizes[lo:hi] == d)
+                    x = unit([flat[at[lo + i] : at[lo + i + 1]] for i in of])
+                    near[np.ix_(of, of)] = x @ x.T >= threshold
                 near &= home[lo:hi, None] | home[None, lo:hi]
                 if bi[lo] != bj[lo]:
                     near &= block[lo:hi, None] != block[None, lo:hi]
                 a, b = np.nonzero(np.triu(near, 1))
                 if not len(a):
                     continue
-                a, b = a + lo, b + lo
+                a, b = a + lo, b + lo  # rows are sorted by key, so a's is the smaller
                 same = homes[a] == homes[b]
                 both = same.any(axis=1)
-                first = homes[a, same.argmax(axis=1)]
-                counted = both & (first == cell[lo])
-                if counted.any():
-                    c, d = a[counted], b[counted]
-                    n = np.bincount(np.r_[c, d] - lo, weights=np.r_[m[d], m[c]], minlength=hi - lo).astype(np.int64)
-                    root = np.arange(hi - lo)
-                    for i, j in zip(c - lo, d - lo, strict=True) if len(c) < 64 else _spanning(c - lo, d - lo, hi - lo):
-                        r, s = root[i], root[j]
-                        if r != s:
-                            root[root == max(r, s)] = min(r, s)
-                    some = np.flatnonzero(n)
-                    rows.append((ids[lo + some], n[some], ids[lo + root[some]], np.zeros(len(some), bool)))
-                if (~both).any():
-                    c, d = ids[a[~both]], ids[b[~both]]
-                    rows.append((np.minimum(c, d), np.zeros(len(c), np.int64), np.maximum(c, d), np.ones(len(c), bool)))
+                counted = both & (homes[a, same.argmax(axis=1)] == cell[lo])
+                probed = np.flatnonzero(~both)
+                if len(probed):
+                    ends, places = np.unique(np.r_[a[probed], b[probed]], return_inverse=True)
+                    seen = np.empty((len(ends), homes.shape[1], PROBES), dtype=np.int64)
+                    for d in np.unique(sizes[ends]):
+                        of = np.flatnonzero(sizes[ends] == d)
+                        seen[of] = cells(unit([flat[at[ends[i]] : at[ends[i] + 1]] for i in of]), homes.shape[1], blocks)[:, :, 1:]
+                    one, two = places[: len(probed)], places[len(probed) :]
+                    for k in range(0, len(probed), 4096):
+                        p, i, j = probed[k : k + 4096], one[k : k + 4096], two[k : k + 4096]
+                        counted[p] = _counted_here(cell[lo], homes[a[p]], homes[b[p]], seen[i], seen[j])
+                if not counted.any():
+                    continue
+                c, d = a[counted] - lo, b[counted] - lo
+                n = np.bincount(np.r_[c, d], weights=np.r_[m[lo + d], m[lo + c]], minlength=hi - lo).astype(np.int64)
+                root = np.arange(hi - lo)
+                for i, j in zip(c, d, strict=True) if len(c) < 64 else _spanning(c, d, hi - lo):
+                    r, s = root[i], root[j]
+                    if r != s:
+                        root[root == max(r, s)] = min(r, s)
+                some = np.flatnonzero(n)
+                rows.append((keys[lo + some], n[some], keys[lo + root[some]]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["id", "n", "other", "alone"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["key", "n", "other"])
 
     return run
 
@@ -193,37 +230,40 @@ def _spanning(c: np.ndarray, d: np.ndarray, n: int) -> Iterator[tuple[int, int]]
         label = low
 
 
-def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
+def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int | None = None, blocks: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; ids are longs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
-    vectors of different lengths do not link.  Rows that repeat an id are vectors like others.  A row
-    with a null id counts as its copies' link but represents nothing.  Extra columns are not looked at."""
+    vectors of different lengths do not link.  Rows that repeat an id each have the links and the
+    component of their own vector.  A row with a null id counts as a link and joins components but is
+    never kept; a component of such rows alone is null.  Extra columns are not looked at."""
+    if tables is None or blocks is None:
+        tables, blocks = plan(rows.count())
     base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     fit = F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
     keyed = base.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("p1", F.xxhash64("vector")).withColumn("p2", F.xxhash64(F.lit("second"), "vector"))
     classes = keyed.where("fit").groupBy("p1", "p2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.any_value("vector").alias("vector"))
     kind = rows.schema[vector_col].dataType.simpleString()
     reps = settled(
-        classes.where("id is not null").select("id", "m", "vector").transform(arrow_map, _listed, f"id long, m long, vector {kind}, homes array<long>, near array<long>")
-    )
-    listed = reps.select("id", F.explode(F.concat(F.transform("homes", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("home"))), F.transform("near", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("home"))))).alias("c")).select("id", "c.cell", "c.home")
+        classes.withColumn("key", F.monotonically_increasing_id()).select("key", "p1", "p2", "id", "m", "vector")
+        .transform(arrow_map, _listed(tables, blocks), f"key long, p1 long, p2 long, id long, m long, vector {kind}, homes array<long>, near array<long>")
+    )
+    listed = reps.select("key", F.explode(F.concat(F.transform("homes", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("home"))), F.transform("near", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("home"))))).alias("c")).select("key", "c.cell", "c.home")
     crowded = listed.groupBy("cell").agg(F.count("*").alias("size"), F.max("home").alias("any")).where("size > 1 and any").select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("g"))
-    placed = listed.join(crowded, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    placed = listed.join(crowded, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj")))
-    dealt = placed.select("id", "cell", "home", "block", F.explode(pairs).alias("p")).select("id", "cell", "home", "block", "p.bi", "p.bj")
-    met = (
-        dealt.join(reps.drop("near"), "id").repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "id")
-        .transform(arrow_map, _verify(threshold), "id long, n long, other long, alone boolean")
+    dealt = placed.select("key", "cell", "home", "block", F.explode(pairs).alias("p")).select("key", "cell", "home", "block", "p.bi", "p.bj")
+    met = settled(
+        dealt.join(reps.select("key", "m", "vector", "homes"), "key").repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "key")
+        .transform(arrow_map, _verify(threshold, blocks), "key long, n long, other long")
+    )
+    counts = met.groupBy("key").agg(F.sum("n").alias("links"))
+    found = settled(components(met.select(F.col("key").alias("a"), F.col("other").alias("b")), "a", "b").withColumnRenamed("node", "key"))
+    firsts = found.join(reps.select("key", "id"), "key").groupBy("component").agg(F.min("id").alias("first"))
+    named = (
+        reps.select("p1", "p2", "key", "id", "m").join(counts, "key", "left").join(found.join(firsts, "component").select("key", "first"), "key", "left")
+        .select("p1", "p2", F.lit(True).alias("fit"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("first", "id").alias("component"))
     )
-    met = settled(met)
-    apart = met.where("alone").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    size = reps.select(F.col("id").alias("b"), "m")
-    both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = met.where("not alone").select("id", "n").unionByName(both.join(size, "b").select(F.col("a").alias("id"), F.col("m").alias("n"))).groupBy("id").agg(F.sum("n").alias("links"))
-    edges = met.where("not alone").select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(apart)
-    found = components(edges, "a", "b").select(F.col("node").alias("id"), "component")
-    named = classes.select("p1", "p2", "id", "m").join(counts, "id", "left").join(found, "id", "left").select("p1", "p2", F.lit(True).alias("fit"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
     out = keyed.select("id", "fit", "p1", "p2").join(named, ["p1", "p2", "fit"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from millrace.llm import lattice_dedup as L
 
@@ -80,7 +81,7 @@ def test_lengths_share_the_origin(spark):
     """Vectors whose home in the first table is the origin, in near copies, of three lengths: all links count."""
     r, rows = np.random.default_rng(6), []
     for d in (24, 48, 64):
-        project = np.random.default_rng([d, 0]).normal(size=(d, 8 * L.BLOCKS))
+        project = np.random.default_rng([d, 0]).normal(size=(d, 8 * L.FEWEST_BLOCKS))
         q, _ = np.linalg.qr(project)
         for _ in range(3):
             v = r.normal(size=d)
@@ -96,7 +97,41 @@ def test_one_cell_of_two_lengths():
     vectors = [[1.0, 2.0], [1.0, 2.0, 3.0], [1.0, 2.001], [1.0, 2.0, 3.001], [5.0, -1.0]]
     n = len(vectors)
     batch = pa.RecordBatch.from_pydict(
-        {"id": list(range(n)), "cell": [7] * n, "home": [True] * n, "block": pa.array([0] * n, pa.int32()), "bi": pa.array([0] * n, pa.int32()), "bj": pa.array([0] * n, pa.int32()), "m": [1] * n, "vector": vectors, "homes": [[7]] * n}
+        {"key": list(range(n)), "cell": [7] * n, "home": [True] * n, "block": pa.array([0] * n, pa.int32()), "bi": pa.array([0] * n, pa.int32()), "bj": pa.array([0] * n, pa.int32()), "m": [1] * n, "vector": vectors, "homes": [[7]] * n}
     )
-    out = [x for b in L._verify(0.9)(iter([batch])) for x in b.to_pylist()]
-    assert [(x["id"], x["n"], x["other"]) for x in out] == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)]
+    out = [x for b in L._verify(0.9, 2)(iter([batch])) for x in b.to_pylist()]
+    assert [(x["key"], x["n"], x["other"]) for x in out] == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)]
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    a, b, c = [1.0, 0.1, 0.0], [0.0, 1.0, 0.1], [0.1, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a), (1, b), (2, near(a)), (None, c), (None, c), (5, near(c)), (None, [-1.0, 0.0, 0.0]), (None, None), (7, b)]
+    df = spark.createDataFrame([(k, v, n, n) for n, (k, v) in enumerate(rows)], "vec_id long, embedding array<double>, key int, m int").repartition(3)
+    got = sorted(((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in L.near_duplicate_vectors(df).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 2, 5, False), (None, 2, 5, False), (5, 2, 5, True), (None, 0, None, False), (None, 0, None, False), (7, 1, 1, False)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("rows", "size"), [(50_000, 64), (1_000_000, 24), (1_000_000, 384)])
+def test_recall_of_planned_tables(rows, size):
+    """Pairs with a cosine of just 0.9 meet in at least one table, whatever the number of blocks."""
+    r = np.random.default_rng(size)
+    x = L.unit(r.normal(size=(1500, size)))
+    y = r.normal(size=x.shape)
+    y = L.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y
+    tables, blocks = L.plan(rows)
+    one, two = L.cells(x, tables, blocks), L.cells(y, tables, blocks)
+    meet = (one[:, :, :1] == two).any(axis=2) | (two[:, :, :1] == one).any(axis=2)
+    assert meet.any(axis=1).mean() >= 0.99
+
+
+def test_plan_grows_with_the_table(spark):
+    assert L.plan(0)[1] == L.plan(100_000)[1] == 2 and L.plan(100_001)[1] == 3 and L.plan(10**9)[1] > 4
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    tables, blocks = L.plan(1_000_000)
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in L.near_duplicate_vectors(df, tables=tables, blocks=blocks).collect()}
+    want = brute(rows, 0.9)
+    assert sum(min(got[k][0], want[k][0]) for k in want) >= 0.99 * sum(n for n, _ in want.values()) and all(got[k][0] <= want[k][0] for k in want)
