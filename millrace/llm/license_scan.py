@@ -2,14 +2,17 @@
 
 The index holds, for each licence template, its words of highest inverse document frequency (counted
 over all documents) with their positions.  A file's occurrences of those words vote for (template,
-offset); offsets on which enough votes meet are verified: the template's mandatory phrases must stand
-there, and enough of its words at their relative positions.  Four base phrases are always counted.
+offset); neighbouring offsets on which enough votes meet are verified: the template's mandatory phrases
+must stand there, and enough of its words at their relative positions, which names and years put into a
+text may shift by up to SHIFT words.  Four base phrases are always counted.
 
 The statistics are one small table (a count per licence word); both passes are maps over Arrow batches.
 """
 
 from __future__ import annotations
 
+import importlib.resources
+import json
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,36 +31,11 @@ BASE = {
     "mit license": "mit",
 }
 
-#: label: (template, mandatory phrases).  Short public notices, in the words that identify them.
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", ["apache license version 2"]),
-    "apache-2.0-header": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "you may obtain a copy of the license at", ["apache license version 2", "except in compliance with the license"]),
-    "gpl-2.0": ("gnu general public license version 2", ["general public license version 2"]),
-    "gpl-3.0": ("gnu general public license version 3", ["general public license version 3"]),
-    "lgpl": ("gnu lesser general public license", ["lesser general public license"]),
-    "agpl": ("gnu affero general public license", ["affero general public license"]),
-    "mit-notice": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "the software to deal in the software without restriction", ["permission is hereby granted free of charge"]),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        ["redistribution and use in source and binary forms"]),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ["with or without fee is hereby granted"]),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
-    "cc-by-nc": ("cc by nc 4 0", ["cc by nc"]),
-    "cc-by-sa": ("cc by sa 4 0", ["cc by sa"]),
-    "cc-by-nd": ("cc by nd 4 0", ["cc by nd"]),
-    "cc0": ("cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
-    "epl": ("eclipse public license v 2 0", ["eclipse public license"]),
-    "boost": ("distributed under the boost software license version 1 0", ["boost software license"]),
-}
+#: Words of a template that are looked up, at least, and one for so many of its words.
 RARE = 6
+WORDS_PER_RARE = 8
 COVERAGE = 0.8
+SHIFT = 8
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -67,6 +45,19 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
+#: label: (template, mandatory phrases), from the data file beside this module: public licence texts and notices.
+def _templates() -> dict[str, tuple[str, list[str]]]:
+    found = json.loads(importlib.resources.files("millrace.llm").joinpath("license_templates.json").read_text(encoding="utf-8"))
+    return {label: (normalised(entry["text"]), [normalised(p) for p in entry["phrases"]]) for label, entry in found.items()}
+
+
+def normalised(text: str) -> str:
+    return b" ".join(words_of(text)).decode()
+
+
+TEMPLATES = _templates()
+
+
 class Index:
     """The templates' rarest words, by their document frequency in the corpus."""
 
@@ -76,7 +67,7 @@ class Index:
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         self.votes = {}
         for label, (ws, _) in self.templates.items():
-            at = sorted(range(len(ws)), key=lambda i: (-self.idf[ws[i]], i))[:rare]
+            at = sorted(range(len(ws)), key=lambda i: (-self.idf[ws[i]], i))[: max(rare, len(ws) // WORDS_PER_RARE)]
             self.votes[label] = max(1, math.ceil(len(at) / 2))
             for i in at:
                 self.postings[ws[i]].append((label, i))
@@ -95,26 +86,40 @@ class Index:
         labels, score = set(base), 1.0 if base else 0.0
         hits = self.keys & distinct
         if hits:
-            votes: Counter = Counter()
+            votes: dict[str, Counter] = defaultdict(Counter)
             for i, w in enumerate(words):
                 if w in hits:
                     for label, at in self.postings[w]:
-                        votes[label, i - at] += 1
-            for (label, offset), n in votes.items():
-                if n >= self.votes[label]:
-                    coverage = self.verified(words, label, offset)
-                    if coverage >= COVERAGE:
-                        labels.add(label)
-                        score = max(score, coverage)
+                        votes[label][i - at] += 1
+            for label, offsets in votes.items():
+                for group in near_runs(sorted(offsets), SHIFT):
+                    if sum(offsets[o] for o in group) >= self.votes[label]:
+                        coverage = self.verified(words, label, group)
+                        if coverage >= COVERAGE:
+                            labels.add(label)
+                            score = max(score, coverage)
         return {"places": places, "base": base, "labels": labels, "score": score}
 
-    def verified(self, words: list[bytes], label: str, offset: int) -> float:
-        """The share of the template's words that stand at their places, 0 without a mandatory phrase there."""
+    def verified(self, words: list[bytes], label: str, offsets: list[int]) -> float:
+        """The share of the template's words that stand at their places, counted from any of the offsets; 0
+        without a mandatory phrase there."""
         template, phrases = self.templates[label]
-        near = words[max(0, offset - 2) : offset + len(template) + 2]
+        near = words[max(0, offsets[0] - 2) : offsets[-1] + len(template) + 2]
         if not all(places_of(near, p) for p in phrases):
             return 0.0
-        return sum(0 <= offset + i < len(words) and words[offset + i] == w for i, w in enumerate(template)) / len(template)
+        return sum(any(0 <= o + i < len(words) and words[o + i] == w for o in offsets) for i, w in enumerate(template)) / len(template)
+
+
+def near_runs(numbers: list[int], gap: int) -> Iterator[list[int]]:
+    """Runs of ascending numbers that lie within ``gap`` of the first."""
+    run: list[int] = []
+    for n in numbers:
+        if run and n - run[0] > gap:
+            yield run
+            run = []
+        run.append(n)
+    if run:
+        yield run
 
 
 def places_of(words: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -148,7 +153,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", templates: dic
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict = TEMPLATES) -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A null or empty text has no words; its labels are empty strings and its score is 0."""
+    A null or empty text has no words; its labels are empty strings and its score is 0.  Repeated rows get
+    equal results each; of equally good labels all are given; extra columns are not looked at.  Idf
+    is counted over all rows, so what the index looks up depends on the table, not on its partitions."""
     index = Index(*document_frequencies(docs, text_col, templates), templates)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from millrace.llm import license_scan as L
@@ -45,6 +46,38 @@ def test_mandatory_phrase_and_coverage():
     assert "bsd" not in index.scan(far)["labels"]
 
 
+def test_whole_licence_texts_like_brute_force(spark):
+    """Every template inside other words, with a name put in, in copies and with extra columns: the same labels
+    as a search of every offset of every template gives."""
+    r, rows = random.Random(1), []
+    filler = lambda n: " ".join("w" + str(r.randrange(10**6)) for _ in range(n))
+    for label, (text, _) in sorted(L.TEMPLATES.items()):
+        w = text.split()
+        middle = len(w) // 2
+        rows += [(label, f"{filler(30)} {text.upper()} {filler(30)}"), (label, f"{filler(5)} {' '.join(w[:middle])} by john doe {' '.join(w[middle:])}")]
+        rows += [(None, f"{filler(9)} {' '.join(w[: len(w) // 3])} {filler(40)}")]
+    rows += [rows[0], rows[0], (None, None)]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, (_, t) in enumerate(rows)], "doc_id long, text string, labels string, n_words int").repartition(4)
+    got = {x["doc_id"]: set(filter(None, x["labels"].split(","))) for x in L.scan_licenses(df).collect()}
+    index = L.Index({}, 1)
+
+    def searched(text):
+        words, out = L.words_of(text), set()
+        for label, (template, _) in index.templates.items():
+            for first in range(-8, len(words)):
+                if index.verified(words, label, list(range(first, first + L.SHIFT + 1))) >= L.COVERAGE:
+                    out.add(label)
+        return out
+
+    for k, (label, text) in enumerate(rows):
+        own = got[k] - set(L.BASE.values())
+        assert own <= searched(text), text
+        if label is not None and k % 3 != 1:
+            assert label in own, (label, own)
+    long = [label for label, (text, _) in L.TEMPLATES.items() if len(text.split()) > 40]
+    assert len(long) >= 10 and all(label in got[k] for k, (label, _) in enumerate(rows) if label in long)
+
+
 def test_frequencies(docs, empty, rows):
     frequency, n = L.document_frequencies(docs)
     assert n == len(rows) + 1 and L.document_frequencies(empty) == ({}, 0)
