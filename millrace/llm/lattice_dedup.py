@@ -271,3 +271,17 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
 
 def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of vectors compared; for tables of some thousands.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.9),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other),
+least AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN least ON node = vec_id
+"""

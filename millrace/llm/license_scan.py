@@ -178,3 +178,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express: the base phrases' places."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w
+  FROM documents),
+phrase(p, label) AS (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')),
+place AS (
+  SELECT doc_id, i - 1 AS pos, label FROM w, phrase, unnest(range(1, len(w) + 1)) AS u(i)
+  WHERE w[i] = split_part(p, ' ', 1) AND array_to_string(w[i:i + len(string_split(p, ' ')) - 1], ' ') = p)
+SELECT w.doc_id, len(w.w) AS n_words, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN place USING (doc_id) GROUP BY w.doc_id, len(w.w)
+"""

@@ -294,3 +294,17 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express: how many matches each base pattern has."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+BASE_ORACLE = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM documents
+"""
