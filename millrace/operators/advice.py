@@ -5,10 +5,13 @@ Rules are dimensions of some thousand rows and are broadcast; states, items and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.broadcasts import small
+from millrace.operators.checkpoints import settled
 
 UTILITY = "utility"
 #: How much each difficulty weighs, in order of rank.
@@ -214,3 +217,19 @@ def learned(profile: DataFrame, signals: DataFrame, fields: list[str]) -> DataFr
     rows = profile.join(new, "user_id", "left")
     some = F.coalesce(*[F.col(f"__{f}").cast("string") for f in fields]).isNotNull()
     return rows.select("user_id", *[F.coalesce(f"__{f}", f).alias(f) for f in fields], F.round(F.when(some, F.least(F.lit(1.0), F.col("confidence") + 0.1)).otherwise(F.col("confidence")), 6).alias("confidence"))
+
+
+def gathered(advisors: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """All objectives of some advisors, with ``advisor``, and what the failing ones said.
+
+    Each advisor's rows are computed before they are taken, so one that fails, in its plan or on its data,
+    takes none of the others with it."""
+    found, failed = None, {}
+    for name, advise in advisors.items():
+        try:
+            rows = settled(advise().withColumn("advisor", F.lit(name)))
+        except Exception as e:  # whatever it is, the others go on
+            failed[name] = type(e).__name__
+            continue
+        found = rows if found is None else found.unionByName(rows)
+    return found, failed

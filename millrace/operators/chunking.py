@@ -121,3 +121,20 @@ def chunk_documents(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     rows = docs.select("document_key", *[F.col(c).cast("string").alias(c) for c in ("header", "facts", "body")])
     kind = docs.schema["document_key"].dataType.simpleString()
     return rows.mapInArrow(run, f"document_key {kind}, ordinal int, heading_path array<string>, text string")
+
+
+def split_texts(df: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """(id, pos, piece): each text in pieces of at most ``most`` characters; a null or blank text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, pos, out = [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for n, piece in enumerate(filter(str.strip, pieces(text or "", most))):
+                    at.append(k)
+                    pos.append(n)
+                    out.append(piece)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(out, pa.string())], ["id", "pos", "piece"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, pos int, piece string").withColumnRenamed("id", id_col)

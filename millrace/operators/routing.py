@@ -84,6 +84,29 @@ def for_characters(costs: DataFrame, characters: DataFrame) -> DataFrame:
     return who.join(small(costs), ["faction", "grown", "origin"]).select("char_id", F.col("node").alias("map_id"), "seconds")
 
 
+def with_own_edges(costs: DataFrame, characters: DataFrame, own: DataFrame) -> DataFrame:
+    """(char_id, map_id, seconds): as ``for_characters``, where a character may first take an edge of its own.
+
+    own: char_id, target, seconds; such edges start wherever the character stands, so they serve once."""
+    who = characters.select("char_id", "faction", (F.col("level") >= 40).alias("grown"), F.col("map_id").alias("origin"))
+    first = who.select("*", F.lit(0.0).alias("before")).unionByName(who.drop("origin").join(own.select("char_id", F.col("target").alias("origin"), F.col("seconds").alias("before")), "char_id"))
+    reached = first.join(small(costs), ["faction", "grown", "origin"])
+    return reached.groupBy("char_id", F.col("node").alias("map_id")).agg(F.min(F.col("before") + F.col("seconds")).alias("seconds"))
+
+
+def skipped(chosen: DataFrame, completed: DataFrame, quests: DataFrame) -> DataFrame:
+    """(char_id, quest_id, reason) of the chosen quests that no plan can take: a prerequisite is neither done nor
+    chosen too, or the quest has no place.  quests: quest_id, prerequisites, map_id."""
+    want = chosen.select("char_id", "quest_id").distinct().join(quests.select("quest_id", "prerequisites", "map_id"), "quest_id")
+    need = want.select("char_id", "quest_id", F.explode("prerequisites").alias("pre"))
+    met = completed.select("char_id", F.col("quest_id").alias("pre")).unionByName(chosen.select("char_id", F.col("quest_id").alias("pre"))).distinct()
+    unmet = need.join(met, ["char_id", "pre"], "left_anti").groupBy("char_id", "quest_id").agg(F.sort_array(F.collect_set("pre")).alias("unmet"))
+    told = want.join(unmet, ["char_id", "quest_id"], "left").withColumn(
+        "reason", F.when(F.col("unmet").isNotNull(), F.concat(F.lit("requires "), F.array_join(F.transform("unmet", lambda x: x.cast("string")), ", "))).when(F.col("map_id").isNull(), "no known place")
+    )
+    return told.where("reason is not null").select("char_id", "quest_id", "reason")
+
+
 def alternatives(network: DataFrame, requests: DataFrame, limit: int = 3) -> DataFrame:
     """(origin, destination, rank, seconds, path): the cheapest way and those found with one of its edges banned.
 
