@@ -6,10 +6,12 @@ class softmax has hashed features of the history: the last word, the last two wo
 two and three back (skips).  In a class only the unigram feature is used, whose maximum-entropy
 solution is the (add-one) relative frequency, so no softmax over the words is needed.
 
-Training goes over every training document once, in ROUNDS disjoint slices.  In a round each task
+Training goes over every training document once, in disjoint slices, one a round.  In a round each task
 takes AdaGrad steps from the common weights over its documents, in sparse numpy batches; the tasks'
 changes are averaged, each row of weights by how often the tasks used it, and become the common
-weights.  Changes are summed in a stream, a block of rows at a time; the driver gets one sum per block.
+weights.  A task's steps start anew each round, which costs; averaging late costs more the more tasks
+there are.  So there is one round for one task and half as many as tasks for several, up to ROUNDS.
+Changes are summed in a stream, a block of rows at a time; the driver gets one sum per block.
 
 Word counts are exact over all training documents.  Words are known by 64-bit hashes of their bytes.
 The most frequent words, up to HEAD, are looked up in the map; the others are few per document and get their
@@ -36,7 +38,7 @@ BUCKETS = 4096
 FEATURES = 4
 BLOCK_ROWS = 64
 BATCH = 32_768
-ROUNDS = 2
+ROUNDS = 8
 RATE = 0.3
 KEPT_WORDS = 400_000
 
@@ -183,7 +185,7 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where("false") if lowest is None else counts.where(F.col("n") >= lowest)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Model, DataFrame, int, int]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> tuple[Model, DataFrame, int, int]:
     """(model, counts (h, cls, n) of all training words, N, V) of a table of training texts.
 
     Null texts are empty ones.  N and V count the end of a text as a token.  Without documents all is 0."""
@@ -204,6 +206,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     model.class_v[:HEAD_CLASSES] = np.bincount(model.head_cls, minlength=HEAD_CLASSES)
     model.class_n[END], model.class_v[END] = n_texts, n_texts > 0
     model.bias = np.log((model.class_n + 1) / (model.class_n + 1).sum()).astype(np.float32)
+    rounds = rounds or max(1, min(ROUNDS, texts.rdd.getNumPartitions() // 2))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)
