@@ -90,13 +90,24 @@ def accounts(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     return c.select(key, "account", F.try_variant_get("c", "$.id", "long").alias("character_id"), S.text_at(F.col("c"), "$.name").alias("name"), F.try_variant_get("c", "$.level", "long").alias("level"))
 
 
-def sitemap_urls(df: DataFrame, xml: str, fragments: list[str], limit: int | None = None) -> DataFrame:
-    """(url): the distinct page addresses of sitemaps that hold one of the fragments, in order, up to limit.
+def sitemap_urls(df: DataFrame, xml: str, fragments: list[str], limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """(url): the distinct page addresses of sitemaps that hold one of the fragments, in order if asked, up to limit.
     Sitemaps that do not parse have none; indexes are read by giving their pages as rows."""
     well = df.where(F.coalesce(F.startswith(F.trim(xml), F.lit("<urlset")) & F.endswith(F.trim(xml), F.lit("</urlset>")), F.lit(False)))
     urls = well.select(F.explode(F.xpath(F.col(xml), F.lit("//url/loc/text()"))).alias("url"))
     wanted = F.lit(False)
     for f in fragments:
         wanted |= F.contains("url", F.lit(f))
-    found = urls.where(wanted if fragments else F.lit(True)).distinct().orderBy("url")
+    found = urls.where(wanted if fragments else F.lit(True)).distinct()
+    found = found.orderBy("url") if ordered else found
     return found if limit is None else found.limit(limit)
+
+
+def sitemap_pages(roots: DataFrame, sitemaps: DataFrame, fragments: list[str]) -> DataFrame:
+    """(url): the distinct page addresses under root sitemaps (url, xml), with one of the fragments.  Roots that are
+    indexes lead to the sitemaps (url, xml) they name; an index named by an index is not followed."""
+    text = F.trim("xml")
+    is_index = F.coalesce(F.startswith(text, F.lit("<sitemapindex")) & F.endswith(text, F.lit("</sitemapindex>")), F.lit(False))
+    named = roots.where(is_index).select(F.explode(F.xpath("xml", F.lit("//sitemap/loc/text()"))).alias("url")).distinct()
+    found = sitemaps.join(named, "url").select("xml").unionByName(roots.where(~is_index).select("xml"))
+    return sitemap_urls(found, "xml", fragments, ordered=False)
