@@ -35,16 +35,17 @@ def dependents(quests: DataFrame) -> DataFrame:
 
 
 def closure(links: DataFrame) -> DataFrame:
-    """(pre, quest_id) for every path of links (pre, quest_id).  Each round doubles the length of the
-    paths, so a chain of n links takes log2(n) rounds."""
-    reach = settled(links.select("pre", "quest_id").distinct())
-    n = reach.count()
-    while True:
-        further = reach.select("pre", F.col("quest_id").alias("mid")).join(reach.select(F.col("pre").alias("mid"), "quest_id"), "mid").select("pre", "quest_id")
-        reach = settled(reach.unionByName(further).distinct())
-        if (m := reach.count()) == n:
-            return reach
-        n = m
+    """(pre, quest_id) for every path of links (pre, quest_id), which is all pairs with a way between them.
+
+    Each round prolongs only the pairs found by the last one, by all ways known, which doubles the length
+    covered: a shortest way of 2n links begins with one of n, and that was found in the last round.  So
+    a chain of n links takes log2(n) rounds, and found pairs are written once."""
+    reach = found = settled(links.select("pre", "quest_id").distinct())
+    while not found.isEmpty():
+        longer = found.select("pre", F.col("quest_id").alias("mid")).join(reach.select(F.col("pre").alias("mid"), "quest_id"), "mid").select("pre", "quest_id").distinct()
+        found = settled(longer.join(reach, ["pre", "quest_id"], "left_anti"))
+        reach = reach.unionByName(found)
+    return reach
 
 
 def core(links: DataFrame, rounds: int = 6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.broadcasts import small
+from millrace.operators.checkpoints import settled
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -103,3 +104,21 @@ def rate_limited(events: DataFrame, key: str, ts: str, seconds: int, limit: int,
     bucket = F.floor(epoch / seconds)
     n = F.row_number().over(Window.partitionBy(key, "bucket").orderBy(ts, tie))
     return events.withColumn("bucket", bucket).withColumn("n", n).withColumn("allowed", F.col("n") <= limit).withColumn("retry_after", F.when(F.col("n") > limit, seconds - epoch % seconds))
+
+
+def positions(df: DataFrame, group: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """df with the place of each row in its group, from 1, in the order given, which must end in a unique key.
+
+    A group may hold most of the table: rows are dealt by ranges of (group, order), so that it is spread
+    over many tasks; each task numbers its own rows, and the rows of the group in earlier tasks are added.
+    Null groups are a group."""
+    keys = [F.col(g) for g in group]
+    dealt = settled(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    before = small(sizes.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__part").alias("__at"), "__before"))
+    same = F.col("__part") == F.col("__at")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    nth = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    return dealt.join(before, same).select(*df.columns, (F.col("__before") + nth).alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import semistructured as S
 from millrace.functions import text as T
 from millrace.operators import records as P
+from millrace.operators import relational as R
 from millrace.plans.catalog import query
 from millrace.sources.tables import table
 
@@ -148,6 +149,13 @@ def t08(spark, sf):
     return got.select("c_nationkey", F.array_join(F.col("x.n"), ",").alias("names"))
 
 
+@query("t08_name_positions", "SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_name), c_name, c_custkey) AS pos FROM customer")
+def t08_positions(spark, sf):
+    """The same order as places of rows, for groups that grow with the table."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name")
+    return R.positions(c, ["c_nationkey"], [F.lower("c_name"), F.col("c_name"), _c()]).drop("c_name")
+
+
 @query("x08_slugs", "SELECT p_partkey, regexp_replace(replace(lower(trim('The ' || p_name || '''s_Hall ')), '''', ''), '[ _]+', '-', 'g') AS slug FROM part")
 def x08(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.slug(F.concat(F.lit("The "), F.col("p_name"), F.lit("'s_Hall "))).alias("slug"))

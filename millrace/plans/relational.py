@@ -276,6 +276,12 @@ def a12(spark, sf):
     return grouped.select("campaign", F.array_join(F.transform("q", lambda x: x["quest_id"].cast("string")), ",").alias("quests"))
 
 
+@query("a12_group_positions", f"WITH {QUESTS_SQL} SELECT campaign, quest_id, row_number() OVER (PARTITION BY campaign ORDER BY required_level, quest_id) AS pos FROM quests")
+def a12_positions(spark, sf):
+    """The same order as places of rows, for groups that grow with the table."""
+    return R.positions(quests(spark, sf).select("campaign", "quest_id", "required_level"), ["campaign"], [F.col("required_level"), F.col("quest_id")]).drop("required_level")
+
+
 @query("a13_duplicates", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 def a13(spark, sf):
     return R.duplicates(table(spark, sf, "part"), ["p_name"])

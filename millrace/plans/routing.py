@@ -153,6 +153,14 @@ def macros(spark, sf):
     return N.macro(points, "key").select(F.col("key").alias("map_id"), "macro")
 
 
+@query("s18_macro_pages", f"WITH w AS ({_WAYS}) SELECT id % 25 AS map_id, id // 5000 AS page, string_agg(line, chr(10) ORDER BY id) AS macro FROM w GROUP BY ALL")
+def macro_pages(spark, sf):
+    """Macros of 200 lines at most, however many places a map has."""
+    page = F.floor(F.col("id") / 5000)
+    points = places(spark, sf).withColumn("pos", F.col("id")).withColumn("label", F.concat(F.lit("Point "), F.col("id").cast("string"))).withColumn("key", F.struct("map_id", page.alias("page")))
+    return N.macro(points, "key").select("key.map_id", "key.page", "macro")
+
+
 _LINES = [(1, "/way #12 30.5 40.25 Old mill"), (2, "/way #3 100 0"), (3, "/way #3 100.5 0 too far"), (4, "way #3 1 2"), (5, None), (6, ""), (7, "  /way #7 1.5,2.5 x | y  ")]
 
 

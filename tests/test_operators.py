@@ -203,3 +203,33 @@ def test_whole_eligibility_keeps_all_characters(spark):
     n = spark.read.parquet(f"{sf}/customer.parquet").count()
     got = registry.QUERIES["f13b_quest_eligibility_all"](spark, sf)
     assert got.count() == n > 200 and got.where("n > 0").count() == n
+
+
+def test_positions_of_a_hot_group(spark):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", (i * 7919) % 400) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = relational.positions(df, ["g"], [F.col("x").desc()]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(g, x): 1 + sum(1 for h, y in rows if h == g and y > x) for g, x in rows}
+    assert len(got) == 400 and {(r["g"], r["x"]): r["pos"] for r in got} == want
+    assert relational.positions(df.where("false"), ["g"], [F.col("x")]).count() == 0
+
+
+def test_closure_against_search(spark):
+    links = [(i, (i * i + 3) % 61) for i in range(60)] + [(i, i + 7) for i in range(0, 50, 3)]
+    after: dict[int, set[int]] = {}
+    for a, b in links:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for a in after:
+        seen, open_ = set(), [a]
+        while open_:
+            new = after.get(open_.pop(), set()) - seen
+            seen |= new
+            open_ += new
+        want |= {(a, b) for b in seen}
+    got = [(r["pre"], r["quest_id"]) for r in graph.closure(spark.createDataFrame(links, "pre long, quest_id long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
