@@ -72,6 +72,31 @@ def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return rows.mapInArrow(task, schema)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores put before it until no column of the frames is called so in either case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows, which must be settled, with their number from 0 in the order of their partitions and within them.
+
+    What the driver sees is a count per partition; no row moves."""
+    place, part, first, at = (fresh(n, rows) for n in ("place", "part", "first", "at"))
+    placed = rows.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33).cast("int"))
+    counts = dict(placed.groupBy(part).count().collect())  # a row per partition
+    starts, so_far = [], 0
+    for p in sorted(counts):
+        starts.append((p, so_far))
+        so_far += counts[p]
+    firsts = rows.sparkSession.createDataFrame(starts, f"{at} int, {first} long")
+    joined = placed.join(F.broadcast(firsts), F.col(part) == F.col(at))
+    inside = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(first) + inside).alias(name))
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only

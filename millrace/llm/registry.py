@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, lattice_dedup, license_scan, minhash_dedup, secret_scan
+from millrace.llm import decontamination, importance_resampling, lattice_dedup, license_scan, minhash_dedup, secret_scan
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.lattice_dedup import op1_lattice_dedup
 from millrace.llm.license_scan import op6_license_scan
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_ring_sharding": op10_ring_sharding,
+    "op11_importance_resampling": importance_resampling.op11_importance_resampling,
     "secret_base_counts": secret_scan.secret_base_counts,
     "license_base_places": license_scan.license_base_places,
 }
@@ -32,6 +33,7 @@ ORACLES: dict[str, str] = {
     "op1_lattice_dedup": lattice_dedup.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op11_importance_resampling": importance_resampling.ORACLE,
     "secret_base_counts": secret_scan.BASE_ORACLE,
     "license_base_places": license_scan.BASE_ORACLE,
 }
