@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, importance_resampling, lattice_dedup, license_scan, minhash_dedup, secret_scan
+from millrace.llm import decontamination, hard_negatives, importance_resampling, lattice_dedup, license_scan, minhash_dedup, secret_scan
 from millrace.llm.language_id import op8_language_id
 from millrace.llm.lattice_dedup import op1_lattice_dedup
 from millrace.llm.license_scan import op6_license_scan
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_ring_sharding": op10_ring_sharding,
     "op11_importance_resampling": importance_resampling.op11_importance_resampling,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "secret_base_counts": secret_scan.secret_base_counts,
     "license_base_places": license_scan.license_base_places,
 }
@@ -34,6 +35,7 @@ ORACLES: dict[str, str] = {
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
     "op11_importance_resampling": importance_resampling.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
     "secret_base_counts": secret_scan.BASE_ORACLE,
     "license_base_places": license_scan.BASE_ORACLE,
 }
