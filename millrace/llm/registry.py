@@ -8,6 +8,7 @@ from millrace.llm.lattice_dedup import op1_lattice_dedup
 from millrace.llm.license_scan import op6_license_scan
 from millrace.llm.maxent_lm import op7_maxent_lm
 from millrace.llm.minhash_dedup import op4_minhash_dedup
+from millrace.llm.quality_classifier import op12_quality_classifier
 from millrace.llm.ring_sharding import op10_ring_sharding
 from millrace.llm.secret_scan import op3_secret_scan
 from millrace.llm.sentencepiece_codec import op2_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_ring_sharding": op10_ring_sharding,
     "op11_importance_resampling": importance_resampling.op11_importance_resampling,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "secret_base_counts": secret_scan.secret_base_counts,
     "license_base_places": license_scan.license_base_places,
