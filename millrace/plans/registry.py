@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import advice, chunks, entities, graph, more, records, relational, retrieval, routing, services  # noqa: F401
+from millrace.plans import advice, chunks, entities, graph, more, records, relational, retrieval, routing, search, services  # noqa: F401
 from millrace.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
