@@ -93,7 +93,9 @@ class Index:
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """The stored postings; of some terms, only their folders and row groups are read."""
-        rows = self.spark.read.parquet(f"{self.root}/postings")
+        of_docs = self.documents().schema  # said here, as an index of nothing has no file to tell
+        kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in of_docs if f.name != "doc_id")
+        rows = self.spark.read.schema(f"term string, doc_id {of_docs['doc_id'].dataType.simpleString()}, title array<int>, body array<int>{kinds}, bucket int").parquet(f"{self.root}/postings")
         if terms is None:
             return rows
         literal = self.spark.createDataFrame([(t,) for t in terms], "term string")
