@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.asof import last_before
+
 
 def scope_outcomes(fetched: DataFrame) -> DataFrame:
     """fetched (char_id, scope, payload, error) with ``ok`` and ``reason``: a scope fails on an error or without a
@@ -56,11 +58,11 @@ def account_collections(accounts: DataFrame, mounts: DataFrame, pets: DataFrame)
 
 
 def cached_answers(requests: DataFrame, answers: DataFrame, ttl: int, negative_ttl: int) -> DataFrame:
-    """requests (key, user_scoped, ts) with ``hit``: whether an earlier answer of the key, the latest, still holds.
-
-    answers: key, ts, found.  One that found nothing holds for the shorter ``negative_ttl``; what is asked
-    for a user is never cached.  Times are seconds."""
-    last = answers.groupBy("key").agg(F.max(F.struct("ts", "found")).alias("last"))
-    age = F.col("ts") - F.col("last.ts")
-    fresh = (age >= 0) & (age < F.when(F.col("last.found"), ttl).otherwise(negative_ttl))
-    return requests.join(last, "key", "left").withColumn("hit", F.coalesce(fresh & ~F.col("user_scoped"), F.lit(False))).drop("last")
+    """requests (key, user_scoped, ts) with ``hit``: whether the newest answer of the key at or before the request
+    still holds then.
+
+    answers: key, ts, found; later answers do not matter.  One that found nothing holds for the shorter
+    ``negative_ttl``; what is asked for a user is never cached.  Times are seconds."""
+    last = last_before(requests, answers.select("key", "ts", "found"), "key", "ts")
+    fresh = F.col("ts") - F.col("last.ts") < F.when(F.col("last.found"), ttl).otherwise(negative_ttl)
+    return last.withColumn("hit", F.coalesce(fresh & ~F.col("user_scoped"), F.lit(False))).drop("last")

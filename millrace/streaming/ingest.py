@@ -1,22 +1,23 @@
 """Incremental ingestion and event processing with Structured Streaming.
 
 Documents arrive as files; each micro-batch is compared with the store by key and content hash, and only
-what is new or changed is cut into chunks.  The store is a folder of versions, each a whole table: a
-version is complete before the pointer to it is written, so a batch that is run again after a failure
-starts from the version before it.
+what is new or changed is cut into chunks and written.  The store's tables are delta tables: a batch adds to
+them what it changes, and one that is run again after a failure adds nothing twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from millrace.functions import text as T
 from millrace.operators import relational as R
+from millrace.operators.checkpoints import settled
 from millrace.operators.chunking import Sizes, chunk_documents
+from millrace.operators.deltas import DeltaTable
 
 DOCUMENT = "source string, source_id string, entity_type string, title string, body string, game_version string"
 
@@ -28,50 +29,64 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return R.latest(hashed, ["document_key"], [F.desc("content_hash")])
 
 
+STORED = f"{DOCUMENT}, document_key string, content_hash string, batch long"
+CHUNKS = "document_key string, ordinal int, heading_path array<string>, text string"
+ERRORS = "document_key string, source string, source_id string, message string, batch long"
+
+
 class Store:
-    """Documents and chunks under a folder that all executors share, one sub-folder per version."""
+    """Documents, their chunks and the errors of documents, as delta tables under a folder that all executors share.
+
+    Each batch is a version of every table, whatever stream it came from, and so is each folding of deltas."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self.documents = DeltaTable(spark, f"{root}/documents", STORED, "document_key", touched="batch")
+        self.chunks = DeltaTable(spark, f"{root}/chunks", CHUNKS, "document_key")
+        self.errors = DeltaTable(spark, f"{root}/errors", ERRORS, "document_key")
 
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
+    def read(self, table: str, version: int | None = None, schema: str | None = None) -> DataFrame:
+        """A version of a table, the newest by default; ``schema`` is the table's own and may be left out."""
+        return getattr(self, table).read(version)
 
-    def read(self, table: str, version: int, schema: str) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self._path(table, version))
 
-    def write(self, table: str, version: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self._path(table, version))
-
-
-STORED = f"{DOCUMENT}, document_key string, content_hash string, batch long"
-CHUNKS = "document_key string, ordinal int, heading_path array<string>, text string"
+def wrong_with(docs: DataFrame) -> Column:
+    """What keeps a document out, null for nothing; one document's fault keeps no other out."""
+    return F.when(F.col("source").isNull() | F.col("source_id").isNull() | F.col("game_version").isNull(), "no key").when(F.coalesce(F.trim("title"), F.lit("")) == "", "no title")
 
 
-def ingest_batch(store: Store, batch: DataFrame, batch_id: int, sizes: Sizes = Sizes()) -> DataFrame:
-    """Write version ``batch_id`` from the one before it and the batch; returns the batch's counters.
+def ingest_batch(store: Store, batch: DataFrame, batch_id: int, sizes: Sizes = Sizes(), writer: str = "batch") -> dict:
+    """Commit a batch to the store; returns its counters.
 
-    Unchanged documents only have their batch number renewed and are not cut again."""
-    old, old_chunks = store.read("documents", batch_id - 1, STORED), store.read("chunks", batch_id - 1, CHUNKS)
-    new = with_keys(batch).withColumn("batch", F.lit(batch_id).cast("long"))
-    actions = R.upsert_actions(old, new, "document_key", ["content_hash"])
+    What is written follows the batch: changed documents and their chunks, and for unchanged ones, which are
+    not cut again, the key and the number of the batch.  Only the keys and hashes of the batch's documents are
+    looked up.  Documents that are wrong are left out, each with its reason in ``errors``.  A batch that the writer
+    has committed before is not written again; documents come last, so a commit that broke off is made whole."""
+    stored = store.documents
+    new = settled(with_keys(batch.where(wrong_with(batch).isNull())).withColumn("batch", F.lit(batch_id).cast("long")))
+    old = stored.read(only=new, columns=["document_key", "content_hash"])
+    actions = settled(R.upsert_actions(old, new, "document_key", ["content_hash"]))
     changed = new.join(actions.where("action <> 'touch'"), "document_key", "left_semi")
+    seen = new.join(actions.where("action = 'touch'"), "document_key", "left_semi")
+    counters = actions.agg(F.count("*").alias("seen"), F.count_if(F.col("action") != "touch").alias("written"), F.count_if(F.col("action") == "touch").alias("skipped")).first().asDict()
     cut = chunk_documents(changed.select("document_key", F.concat("title", F.lit(" ("), "entity_type", F.lit(")")).alias("header"), F.lit("").alias("facts"), "body"), sizes)
-    store.write("chunks", batch_id, R.replace_rows(old_chunks, cut, ["document_key"]))
-    store.write("documents", batch_id, R.upsert(old, new.select(*old.columns), "document_key", ["content_hash"], "batch"))
-    return actions.agg(F.count("*").alias("seen"), F.count_if(F.col("action") != "touch").alias("written"), F.count_if(F.col("action") == "touch").alias("skipped"))
+    faults = batch.withColumn("message", wrong_with(batch)).where("message is not null")
+    number = F.concat_ws(":", F.lit(writer), F.lit(batch_id), F.monotonically_increasing_id())  # a fault stands on its own, whatever its document is called
+    store.errors.commit(writer, batch_id, puts=faults.select(number.alias("document_key"), "source", "source_id", "message", F.lit(batch_id).cast("long").alias("batch")))
+    store.chunks.commit(writer, batch_id, puts=cut)
+    return stored.commit(writer, batch_id, puts=changed.select(*stored.columns), touches=seen.select("document_key", "batch"), note=counters)
 
 
 def ingest_files(spark: SparkSession, source: str, store: Store, checkpoint: str, files_per_batch: int = 1, done: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Ingest the JSON files that lie in source now and end; the next call goes on with newer files.
 
-    The checkpoint is the lock: one query at a time writes with it."""
+    The checkpoint is the lock: one query at a time writes with it.  Its query is the writer that the store knows;
+    a new checkpoint over an old store reads all files again and finds their documents unchanged."""
     stream = spark.readStream.schema(DOCUMENT).option("maxFilesPerTrigger", files_per_batch).json(source)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        counters = ingest_batch(store, batch, batch_id).first().asDict()
+        writer = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        counters = ingest_batch(store, batch, batch_id, writer=writer)
         if done:
             done(batch_id, counters)
 
