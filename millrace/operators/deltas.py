@@ -36,10 +36,13 @@ LOG = "kind string, folder string, seq long, n long, note string"
 
 
 class DeltaTable:
-    """kinds of folders: ``base`` and ``delta`` (rows with ``seq`` and ``gone``), ``touch`` (keys with ``seq`` and a value)."""
+    """kinds of folders: ``base`` and ``delta`` (rows with ``seq`` and ``gone``), ``touch`` (keys with ``seq`` and a value).
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, touched: str | None = None, buckets: int = BUCKETS, most_deltas: int = MOST_DELTAS):
-        self.spark, self.root, self.key, self.touched, self.buckets, self.most_deltas = spark, root, key, touched, buckets, most_deltas
+    With ``place``, an int column, folders are parted by it instead of a hash of the key, and ``read`` can be
+    asked for some places; a put may move a key to another place."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str, touched: str | None = None, buckets: int = BUCKETS, most_deltas: int = MOST_DELTAS, place: str | None = None):
+        self.spark, self.root, self.key, self.touched, self.buckets, self.most_deltas, self.place = spark, root, key, touched, buckets, most_deltas, place
         self.schema = StructType.fromDDL(schema)
         self.columns = self.schema.fieldNames()
         self._kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
@@ -79,7 +82,8 @@ class DeltaTable:
     def _write(self, rows: DataFrame, kind: str, seq: int) -> dict:
         """rows in a new folder; a folder that a hot key makes large is split over files by Spark."""
         folder, place = f"{kind}-{uuid.uuid4().hex}", "bucket"
-        dealt = rows.withColumn(place, self._bucket(F.col(self.key))).hint("rebalance", place).sortWithinPartitions(place, self.key)
+        at = F.coalesce(self.place, F.lit(-1)) if self.place in rows.columns else self._bucket(F.col(self.key))
+        dealt = rows.withColumn(place, at).hint("rebalance", place).sortWithinPartitions(place, self.key)
         dealt.write.partitionBy(place).parquet(f"{self.root}/{folder}")
         return {"kind": kind, "folder": folder, "seq": seq, "n": self._rows(folder, kind).count(), "note": None}
 
@@ -161,18 +165,20 @@ class DeltaTable:
         rows = self._all(log, "touch", within)
         return None if rows is None else rows.groupBy(self.key).agg(F.max(self.touched).alias(self.touched))
 
-    def read(self, version: int | None = None, only: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
-        """The rows of a version, the newest by default; of the keys of ``only``, whose folders alone are read if they are few.
+    def read(self, version: int | None = None, only: DataFrame | None = None, columns: list[str] | None = None, places: list[int] | None = None) -> DataFrame:
+        """The rows of a version, the newest by default; of the keys of ``only``, whose folders alone are read if they are few;
+        of the folders ``places``.
 
         The base is not shuffled for deltas of a checked size: their keys go to it."""
         log = self.folders(version)
         within = None
         if only is not None:
             only = only.select(self.key).distinct()
-            places = only.limit(NAMED + 1).select(self._bucket(F.col(self.key)).alias("b")).groupBy("b").count().collect()  # a row per bucket
-            if sum(r["count"] for r in places) <= NAMED:
-                within = F.col("bucket").isin([r["b"] for r in places])
-        base, newest = self._all(log, "base", within), self._newest(log, within)
+            if self.place is None:
+                found = only.limit(NAMED + 1).select(self._bucket(F.col(self.key)).alias("b")).groupBy("b").count().collect()  # a row per bucket
+                if sum(r["count"] for r in found) <= NAMED:
+                    within = F.col("bucket").isin([r["b"] for r in found])
+        base, newest = self._all(log, "base", within if places is None else F.col("bucket").isin(places)), self._newest(log, within)
         out = self.spark.createDataFrame([], self.schema) if base is None and newest is None else None
         if base is not None:
             out = base.select(*self.columns)
@@ -181,6 +187,7 @@ class DeltaTable:
                 changed = newest.select(F.col(self.key).alias("__key")).distinct()
                 out = out.join(small(changed), F.col(self.key).eqNullSafe(F.col("__key")), "left_anti")
             alive = newest.where(~F.col("gone")).select(*self.columns)
+            alive = alive if places is None else alive.where(F.col(self.place).isin(places))
             out = alive if out is None else out.unionByName(alive)
         if only is not None:
             out = out.join(small(only), self.key, "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import sync
 from millrace.operators.checkpoints import new_folder
 from millrace.operators.deltas import DeltaTable
+from millrace.operators.vectors import VectorStore
 from millrace.plans.catalog import query
 from millrace.sources.tables import table
 
@@ -57,3 +58,43 @@ def answers_in_time(spark, sf):
     answers = events.where("event_id % 3 = 0").select("key", "ts", (F.col("event_type") != "error").alias("found"))
     asked = events.where("event_id % 3 <> 0").select("event_id", "key", "ts", (F.col("event_type") == "signup").alias("user_scoped"))
     return sync.cached_answers(asked, answers, 86400, 28800).select("event_id", "hit")
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def vector_store(spark, sf: str) -> VectorStore:
+    """embeddings with their labels, after upserts that move some vectors, a deletion, and a commit that comes twice."""
+    rows = table(spark, sf, "embeddings")
+    turned = rows.where("vec_id % 9 = 4").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    out = VectorStore(spark, new_folder(spark, "vectors"), keep="label int").fit(rows)
+    out.upsert(rows.where("vec_id % 3 <> 0"), number=0)
+    out.upsert(rows.where("vec_id % 3 = 0").unionByName(turned.where("vec_id % 3 <> 0")), number=1)
+    out.delete(rows.where("vec_id % 13 = 5").select("vec_id"), number=2)
+    out.upsert(rows.where("vec_id % 13 = 5"), number=2)
+    return out
+
+
+def vector_queries(spark, sf: str):
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_VECTORS = """v AS (SELECT vec_id, label, CASE WHEN vec_id % 9 = 4 AND vec_id % 3 <> 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS e FROM embeddings WHERE vec_id % 13 <> 5),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, greatest(0.0::DOUBLE, round(list_cosine_similarity(q.embedding::DOUBLE[], e::DOUBLE[]), 6)) AS similarity FROM embeddings q, v WHERE q.vec_id % 50 = 0)"""
+
+
+@query("u01_exact_search", f"WITH {_VECTORS} SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s QUALIFY rank <= 20")
+def exact_search(spark, sf):
+    return vector_store(spark, sf).search(vector_queries(spark, sf), exact=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("u01_filtered_search", f"WITH {_VECTORS} SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE label IN (2, 3) QUALIFY rank <= 5")
+def filtered_search(spark, sf):
+    found = vector_store(spark, sf).search(vector_queries(spark, sf), k=5, where=F.col("label").isin(2, 3), exact=True)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("u01_coded_search")
+def coded_search(spark, sf):
+    """By codes, the best of which are scored again with their vectors."""
+    return vector_store(spark, sf).search(vector_queries(spark, sf))
