@@ -1,6 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration text is lexed around its assignment signs into (name, literal) pairs.
+Source and configuration text is lexed around its assignment signs into (name, literal) pairs; calls with a
+quoted first argument and elements with a text are pairs as well.
 Literals bound to plain names are kept as constants of the document, so that ``password = BASE + "x"``
 or ``db.password: *pw`` leads back to the literal that holds the secret.  A pair's score is how
 sensitive the target name is, times how much the literal, alone or joined with the others of the right
@@ -12,6 +13,7 @@ one at a time inside a map over Arrow batches: no shuffle, memory bounded by the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -46,7 +48,16 @@ SHORT = 256
 HUGE = 10**12
 
 _SIGN = re.compile(r"=>|:=|==|[!<>]=|[=:]")
-_TERM = re.compile(r"""[ \t]*+(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([*&$]?[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.+/=\-])|([A-Za-z0-9+/_.=\-@!#%^&*~]+))""")
+_QUOTED = r"""[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'"""
+_BARE = r"[A-Za-z0-9+/_.\-@!#%^*~]"
+#: A block string, a quoted one, a name, or a bare literal: that ends before the next sign, "&", ";" or ",", so that no two
+#: right sides share text, but for the signs that fill up base64.
+_TERM = re.compile(rf"""[ \t]*+(?:[rbuf]?\"\"\"(.*?)\"\"\"|[rbuf]?\'\'\'(.*?)\'\'\'|{_QUOTED}|`([^`\n]*)`|([*&$]?[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_.+/=\-])|({_BARE}+(?:={{1,2}}(?![A-Za-z0-9+/_.=\-@!#%^*~"'`]))?))""", re.DOTALL)
+_NAMED, _BARE_TERM = 6, 7
+_CALL = re.compile(rf"\([ \t]*+(?:{_QUOTED})[ \t]*+[,)]")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:[ \t][^<>]*+)?>([^<>\n]++)</\1>")
+#: A call whose name begins so asks for what its argument names.
+ASKING = {"get", "read", "load", "fetch", "find", "lookup", "has", "is", "require", "need", "ask", "prompt", "input", "check"}
 _PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|\.(?= ))")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
@@ -65,6 +76,13 @@ def name_score(name: str) -> float:
     return score
 
 
+_known_score = functools.lru_cache(4096)(name_score)
+
+
+def _score_of(name: str) -> float:
+    return _known_score(name) if len(name) <= 64 else name_score(name)
+
+
 def mixed_score(length: int, counts: Counter) -> float:
     entropy = -sum(n / length * math.log2(n / length) for n in counts.values())
     kinds = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts})
@@ -72,10 +90,10 @@ def mixed_score(length: int, counts: Counter) -> float:
 
 
 def literal_score(value: str) -> float:
-    """0 to 1: long, mixed literals count more; placeholders and plain short words count nothing."""
+    """0 to 1: long, mixed literals count more, digits alone half; placeholders and plain short words count nothing."""
     if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip():
         return 0.0
-    return mixed_score(len(value), Counter(value))
+    return mixed_score(len(value), Counter(value)) * (0.5 if value.isdigit() else 1.0)
 
 
 def name_before(text: str, at: int) -> str:
@@ -103,28 +121,36 @@ class Value:
     ``joint`` are those joined to its value, which unknown names in a sum are not.  Of the joined text
     only what scoring asks for is kept: its length, its characters' counts and, while short, itself."""
 
+    __slots__ = ("literals", "names", "length", "counts", "text", "weight", "whole")
+
     def __init__(self) -> None:
-        self.literals: list[tuple[int, int, str, bool]] = []
-        self.names: dict[int, Value] = {}
-        self.length, self.counts, self.text = 0, Counter(), ""
+        self.literals: list[tuple[int, int, str, bool]] | tuple = ()
+        self.names: list[Value] | tuple = ()
+        self.length, self.counts, self.text = 0, None, ""  # a short text is counted when it is asked for
         self.weight = self.whole = 0.0  # the highest score of a name that leads here; the same for the joined text
 
     def take(self, start: int, end: int, literal: str, joint: bool) -> None:
+        self.literals = self.literals or []
         self.literals.append((start, end, literal, joint))
         if joint:
-            self._join(len(literal), Counter(literal), literal)
+            self._join(len(literal), literal, None)
 
     def lead(self, other: Value) -> None:
-        self.names[id(other)] = other
-        self._join(other.length, other.counts, other.text)
-
-    def _join(self, length: int, counts: Counter, text: str | None) -> None:
+        self.names = self.names or []
+        self.names.append(other)
+        self._join(other.length, other.text, other.counts)
+
+    def _join(self, length: int, text: str | None, counts: Counter | None) -> None:
+        """Put a text at the end, or one of which only the length and counts are known."""
+        if self.text is not None and text is not None and self.length + length <= SHORT:
+            self.length, self.text = self.length + length, self.text + text
+            return
+        own = self.counts if self.text is None else Counter(self.text)
+        self.counts, self.text = own + (Counter(text) if counts is None else counts), None
         self.length += length
-        self.counts = self.counts + counts
         if self.length > HUGE:  # only repeated sums get here: from now on in proportion
             self.counts = Counter({c: n * 1e-6 for c, n in self.counts.items()})
             self.length = sum(self.counts.values())
-        self.text = self.text + text if self.text is not None and text is not None and len(self.text) + len(text) <= SHORT else None
 
     def score(self) -> float:
         """literal_score of the joined text; a long one is no placeholder and a blank anywhere in it counts."""
@@ -134,7 +160,9 @@ class Value:
 
 
 def literal_pairs(text: str) -> Iterator[tuple[str, Value]]:
-    """(name, value) of each assignment in text order.  A value is made before those that lead back to it."""
+    """(name, value) of each assignment in text order, then of calls with a quoted first argument and of elements.
+
+    A value is made before those that lead back to it."""
     constants: dict[str, Value] = {}
     for sign in _SIGN.finditer(text):
         if sign[0] in ("==", "!=", "<=", ">="):
@@ -144,12 +172,12 @@ def literal_pairs(text: str) -> Iterator[tuple[str, Value]]:
         value, pos, bare = Value(), sign.end(), []
         while t := _TERM.match(text, pos):
             group = t.lastindex
-            if group == 4:  # a name: lead back to its literals, or take a bare word of a configuration line
-                known = constants.get(t[4].lstrip("*&$"))
+            if group == _NAMED:  # a name: lead back to its literals, or take a bare word of a configuration line
+                known = constants.get(t[group].lstrip("*&$"))
                 if known is not None:
                     value.lead(known)
-                elif sign[0] in ("=", ":") and t[4][0] not in "*&$":
-                    bare.append((t.start(4), t.end(4), t[4]))
+                elif sign[0] in ("=", ":") and t[group][0] not in "*&$":
+                    bare.append((t.start(group), t.end(group), t[group]))
             elif group:
                 value.take(t.start(group), t.end(group), t[group], True)
             pos = t.end()
@@ -162,6 +190,16 @@ def literal_pairs(text: str) -> Iterator[tuple[str, Value]]:
         if value.literals or value.names:
             constants[name] = value
             yield name, value
+    for call in _CALL.finditer(text):
+        name = name_before(text, call.start())
+        if name and _SPLIT.findall(name)[:1] and _SPLIT.findall(name)[0].lower() not in ASKING:
+            value = Value()
+            value.take(call.start(call.lastindex), call.end(call.lastindex), call[call.lastindex], True)
+            yield name, value
+    for element in _ELEMENT.finditer(text):
+        value = Value()
+        value.take(element.start(2), element.end(2), element[2], True)
+        yield element[1], value
 
 
 def literal_spans(text: str) -> Iterator[tuple[int, int, float]]:
@@ -169,20 +207,24 @@ def literal_spans(text: str) -> Iterator[tuple[int, int, float]]:
 
     Scores go from the names to the literals, last value first, over every link once: the work grows
     with the text, however often values are joined to values."""
-    values = []
+    values, plain = [], {}  # those that have a weight or lead on; those that are led to and do neither
     for name, value in literal_pairs(text):
-        values.append(value)
-        if weight := name_score(name):
+        if weight := _score_of(name):
             value.weight = weight
             value.whole = weight * value.score()
-    for value in reversed(values):
+        if weight or value.names:
+            values.append(value)
+            for earlier in value.names:
+                if not (earlier.weight or earlier.names):
+                    plain[id(earlier)] = earlier
+    for value in (*reversed(values), *plain.values()):
         if not value.weight:
             continue
         for start, end, literal, joint in value.literals:
             score = max(value.weight * literal_score(literal), value.whole if joint else 0.0)
             if score >= THRESHOLD and end > start:
                 yield start, end, score
-        for earlier in value.names.values():
+        for earlier in value.names:
             earlier.weight, earlier.whole = max(earlier.weight, value.weight), max(earlier.whole, value.whole)
 
 
@@ -201,7 +243,7 @@ def scan(text: str | None) -> list[tuple[int, str, int, float]]:
             found[m.start(), 1, m.end()] = 1.0
     for m in HEX.finditer(text):
         found[m.start(), 2, m.end()] = 0.8
-    if "=" in text or ":" in text:
+    if any(c in text for c in "=:(<"):
         for start, end, score in literal_spans(text):
             found[start, 3, end] = max(score, found.get((start, 3, end), 0.0))
     return [(s, KINDS[k], e, v) for (s, k, e), v in sorted(found.items())]

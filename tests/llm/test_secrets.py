@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 from millrace.llm import secret_scan as S
 
@@ -142,3 +143,31 @@ def test_values_that_grow_without_end():
     text = 'v0 = "q8Zr"\nv1 = "4TnW"\n' + "".join(f"v{i} = v{i - 1} + v{i - 2}\n" for i in range(2, 20_000)) + "secret = v19999\n"
     assert [text[s:e] for s, k, e, _ in S.scan(text) if k == "literal"] == ["q8Zr", "4TnW"]
     assert time.time() - began < 20
+
+
+def test_a_megabyte_of_each_form():
+    """Right sides share no text: the time and the spans follow the text."""
+    forms = {
+        "query string": "".join(f"k{i}={i}&" for i in range(90_000)), "joined bare words": "x=a+" * 260_000, "spaced": "x=a + " * 170_000, "base64 lines": ("QUJDREVG" * 9 + "==\n") * 14_000,
+        "one bare word": "password=" + "aB3/" * 250_000, "padding": "a==" * 330_000, "colons": "a:b:" * 250_000, "open quotes": 'x="' * 330_000, "open blocks": "x='''" * 200_000 + 'y="""' * 2,
+        "calls": '("' * 500_000, "elements": "<a>b" * 250_000, "names": "a.b-c_" * 170_000 + "=1",
+    }
+    for name, text in forms.items():
+        began = time.time()
+        S.scan(text)
+        assert time.time() - began < 8, (name, len(text), time.time() - began)
+    tracemalloc.start()
+    S.scan(forms["colons"])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_query_strings_elements_calls_and_blocks():
+    literals = lambda text: [text[s:e] for s, k, e, _ in S.scan(text) if k == "literal"]
+    assert literals("GET /a?user=bob&db_pwd=q8Zr4TnW2xLp&page=2") == ["q8Zr4TnW2xLp"]
+    assert literals("<server><password>q8Zr4TnW2xLp</password><name>q8Zr4TnW2xLp</name></server>") == ["q8Zr4TnW2xLp"]
+    assert literals('client.set_password("q8Zr4TnW2xLp")\nwithToken( \'q8Zr4TnW2xLp\', 3)') == ["q8Zr4TnW2xLp"] * 2
+    assert literals('get_secret("prod/q8Zr4TnW2xLp") title("q8Zr4TnW2xLp") password(x)') == []
+    assert literals('password = """q8Zr4TnW2xLp"""\nsecret = r\'\'\'q8Zr4\nTnW2xLp\'\'\'') == ["q8Zr4TnW2xLp", "q8Zr4\nTnW2xLp"]
+    assert literals("client_secret: QUJDREVGR0g1MjM0aa==\nnext: 1") == ["QUJDREVGR0g1MjM0aa=="]
+    assert literals("token_count: 1234567890") == []
