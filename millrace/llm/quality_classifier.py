@@ -31,9 +31,9 @@ DIM = 128
 NONZERO = 8
 WINDOW = 2
 MIN_COUNT = 3
-MAX_ROWS = 12_000
-MAX_BYTES = 16_000_000
-MAX_WORDS = 40_000
+MAX_ROWS = 10_000
+MAX_BYTES = 8_000_000
+MAX_WORDS = 25_000
 HIDDEN = 24
 STEPS = 400
 #: Of the sampled texts this share, by their hash, fits the temperature and not the network.
