@@ -96,9 +96,9 @@ def with_own_edges(costs: DataFrame, characters: DataFrame, own: DataFrame) -> D
 
 def skipped(chosen: DataFrame, completed: DataFrame, quests: DataFrame) -> DataFrame:
     """(char_id, quest_id, reason) of the chosen quests that no plan can take: a prerequisite is neither done nor
-    chosen too, or the quest has no place.  quests: quest_id, prerequisites, map_id."""
+    chosen too, or the quest has no place.  quests: quest_id, prerequisites (a null among them asks for nothing), map_id."""
     want = chosen.select("char_id", "quest_id").distinct().join(quests.select("quest_id", "prerequisites", "map_id"), "quest_id")
-    need = want.select("char_id", "quest_id", F.explode("prerequisites").alias("pre"))
+    need = want.select("char_id", "quest_id", F.explode("prerequisites").alias("pre")).where("pre is not null")
     met = completed.select("char_id", F.col("quest_id").alias("pre")).unionByName(chosen.select("char_id", F.col("quest_id").alias("pre"))).distinct()
     unmet = need.join(met, ["char_id", "pre"], "left_anti").groupBy("char_id", "quest_id").agg(F.sort_array(F.collect_set("pre")).alias("unmet"))
     told = want.join(unmet, ["char_id", "quest_id"], "left").withColumn(
