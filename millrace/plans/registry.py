@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import advice, chunks, entities, feeds, graph, more, orders, records, relational, retrieval, route_plans, routing, search, services, stores  # noqa: F401
+from millrace.plans import advice, chunks, entities, feeds, graph, lookups, more, orders, records, relational, retrieval, route_plans, routing, search, services, stores  # noqa: F401
 from millrace.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
