@@ -6,18 +6,20 @@ owner can no longer take go on clockwise, in ring order, to the next shard with
 
 The ring is cut into ``ticks`` equal cells, so what the driver sees is a count per cell: a table of
 bounded size however many rows there are.  From it the driver lays out, per cell, which run of the
-cell's rows goes to which shard.  The rows themselves are shuffled once by cell (a few numbers per
-row, no text) and numbered within it; keys spread evenly over the ring whatever their texts, so a
-text that a third of the rows share loads no cell.
+cell's rows goes to which shard.  The rows themselves are shuffled once, by ranges of the ring's order
+(the query has a few numbers per row there, no text), and numbered where they are; a cell that holds
+many rows, such as a hot key's, is several tasks' work.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import settled
+
 TICKS = 8192
 
 
@@ -81,23 +83,47 @@ def ring_position(keys: list[Column]) -> Column:
     return F.xxhash64(F.lit("ring"), *keys)
 
 
+def pieces(cells: list[tuple[int, int, int, int]], runs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(tick, part, from, to, shard, slot of from): what of each task's share of a cell goes to which shard.
+
+    cells: (tick, part, number of the first row in the part, rows), where parts hold a cell's rows in ring order."""
+    by_tick: dict[int, list[tuple[int, int, int, int]]] = {}
+    for tick, first, end, shard, slot in runs:
+        by_tick.setdefault(tick, []).append((first, end, shard, slot))
+    out, before, last = [], 0, None
+    for tick, part, at, n in sorted(cells):
+        before = before if tick == last else 0
+        for first, end, shard, slot in by_tick[tick]:
+            lo, hi = max(first, before), min(end, before + n)
+            if lo < hi:
+                out.append((tick, part, at + lo - before, at + hi - before, shard, slot + lo - first))
+        before, last = before + n, tick
+    return out
+
+
 def assign_shards(df: DataFrame, key: str, shards: int = 16, vnodes: int = 32, epsilon: float = 0.0, order: list[str] | None = None, ticks: int = TICKS) -> DataFrame:
     """Add ``shard`` int and ``slot`` long (from 0, without gaps in each shard) to every row.
 
-    df's columns named ``shard`` or ``slot`` are replaced.  A null key has a place on the ring like
-    any other.  Rows of equal keys keep together up to the bound on loads; ``order`` breaks their
-    ties (rows equal in it are interchangeable).  An empty table gives an empty result."""
+    df's columns named ``shard`` or ``slot`` are replaced, all others stay, whatever their names.  A null key has a
+    place on the ring like any other.  Rows of equal keys keep together up to the bound on loads; ``order``
+    breaks their ties (rows equal in it are interchangeable), and a key that holds much of the table is spread
+    over tasks by it.  An empty table gives an empty result."""
     spark: SparkSession = df.sparkSession
-    tick = F.shiftrightunsigned(F.col("__pos"), 64 - (ticks.bit_length() - 1)).cast("int")
-    placed = df.drop("shard", "slot").withColumn("__pos", ring_position([F.col(key)])).withColumn("__tick", tick)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]).alias("row")
+    placed = df.select(ring_position([F.col(f"`{key}`")]).alias("pos"), row)
+    placed = placed.withColumn("tick", F.shiftrightunsigned("pos", 64 - (ticks.bit_length() - 1)).cast("int"))
+    by = [F.col("tick"), F.col("pos"), *[F.col("row").getField(c) for c in [key, *(order or [])]]]
+    dealt = settled(placed.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id()))
+    # Such an id is the number of the task, and below 33 bits the row's number in it.
+    numbered = dealt.select("row", "tick", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("nth"))
+    cells = [tuple(r) for r in numbered.groupBy("tick", "part").agg(F.min("nth"), F.count("*")).collect()]  # at most a row per cell and one more per task
     counts = [0] * ticks
-    for row in placed.groupBy("__tick").count().collect():  # at most one row per cell of the ring
-        counts[row["__tick"]] = row["count"]
+    for tick, _, _, n in cells:
+        counts[tick] += n
     runs = layout(counts, ring(shards, vnodes, ticks), capacities(sum(counts), shards, epsilon))
-    plan = spark.createDataFrame(runs, "__t int, __first long, __end long, __shard int, __slot long")
-    numbered = placed.withColumn("__rn", F.row_number().over(Window.partitionBy("__tick").orderBy("__pos", *[F.col(c) for c in [key, *(order or [])]])).cast("long") - 1)
-    joined = numbered.join(F.broadcast(plan), (F.col("__tick") == F.col("__t")) & (F.col("__rn") >= F.col("__first")) & (F.col("__rn") < F.col("__end")))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), (F.col("__slot") + F.col("__rn") - F.col("__first")).alias("slot"))
+    plan = spark.createDataFrame(pieces(cells, runs), "t int, p int, lo long, hi long, shard int, slot long")
+    joined = numbered.join(F.broadcast(plan), (F.col("tick") == F.col("t")) & (F.col("part") == F.col("p")) & (F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi")))
+    return joined.select("row.*", "shard", (F.col("slot") + F.col("nth") - F.col("lo")).alias("slot"))
 
 
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,31 @@ def test_null_keys_and_empty(spark, empty):
     assert R.assign_shards(empty, "doc_id").count() == 0
 
 
+def test_a_hot_key_is_many_tasks_work(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be made one task
+    try:
+        out = R.assign_shards(rows, "k", shards=5, vnodes=4, order=["n"], ticks=64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = [(r["shard"], r["slot"], r["k"], r["n"]) for r in out.collect()]
+    assert len({r[3] for r in got}) == len(got) == 20000 and {n for n in Counter(s for s, *_ in got).values()} == {4000}
+    assert all(sorted(slot for s, slot, *_ in got if s == shard) == list(range(4000)) for shard in range(5))
+    pos = {r["k"]: r["p"] for r in rows.select("k", R.ring_position([F.col("k")]).alias("p")).distinct().collect()}
+    want = sequential([(pos[k], (k, n)) for *_, k, n in got], 5, 4, 64)
+    assert {(k, n): s for s, _, k, n in got} == want
+    hot = out.where("k = 7")
+    assert hot.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_clashing_columns_stay(spark):
+    names = ["__pos", "__tick", "__rn", "pos", "tick", "row", "id", "part", "nth", "t", "p", "lo", "hi", "a.b", "Slot"]
+    some = spark.createDataFrame([(k, *[f"{c}{k}" for c in names]) for k in range(9)], ["k", *names])
+    out = R.assign_shards(some, "k", shards=2, vnodes=2, order=["row"])
+    assert out.columns == ["k", *names[:-1], "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in out.collect()) == [(k, *[f"{c}{k}" for c in names[:-1]]) for k in range(9)]
+
+
 def test_query(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = R.op10_ring_sharding(spark, str(tmp_path)).collect()
