@@ -1,12 +1,15 @@
-"""Queries over frames that arrive out of order, in several micro-batches."""
+"""Queries over frames that arrive out of order, in several micro-batches, and over what runs measure in passing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import measures
+from millrace.operators import relational as R
 from millrace.operators.checkpoints import new_folder
 from millrace.plans.catalog import query
+from millrace.plans.relational import ACTIONS_SQL, coming, stored
 from millrace.sources.tables import table
 from millrace.streaming import order
 
@@ -47,3 +50,29 @@ SELECT user_id, kind, event_id FROM (SELECT *, max(event_id) OVER (PARTITION BY
 def newest(spark, sf):
     frames = arrivals(spark, sf).select("user_id", F.col("payload").alias("kind"), "event_id", "batch")
     return streamed(spark, sf, "user_id long, kind string, event_id long", frames, order.newest_only)
+
+
+@query("a16_observed_counters", f"WITH {ACTIONS_SQL} SELECT count(*) AS seen, count(*) FILTER (action <> 'touch') AS written, count(*) FILTER (action = 'touch') AS skipped, 'completed' AS status FROM actions")
+def observed_counters(spark, sf):
+    """The counters of a run, taken while its actions are written."""
+    actions, passed = measures.observed(R.upsert_actions(stored(spark, sf), coming(spark, sf), "k", ["h"]), **measures.action_counters())
+    actions.write.parquet(new_folder(spark, "actions"))
+    counters = passed.get
+    return spark.createDataFrame([(*[counters[c] for c in ("seen", "written", "skipped")], measures.run_status(counters))], "seen long, written long, skipped long, status string")
+
+
+@query("u05_stream_health", "SELECT count(*) AS rows, 'ok' AS status FROM events")
+def stream_health(spark, sf):
+    """The health of a stream over events, as its listener has it."""
+    listener = measures.StreamHealth(slow_ms=3_600_000)
+    spark.streams.addListener(listener)
+    try:
+        source, out, checkpoint = (new_folder(spark, n) for n in ("frames", "given", "stream"))
+        table(spark, sf, "events").select("event_id").write.parquet(source)
+        copied = spark.readStream.schema("event_id long").parquet(source).writeStream.format("parquet").option("path", out)
+        started = copied.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        started.awaitTermination()
+        measures.wait_for(listener, started)
+    finally:
+        spark.streams.removeListener(listener)
+    return measures.health(listener.rows(spark).where(F.col("stream") == started.id)).select("rows", "status")

@@ -431,10 +431,10 @@ def m02(spark, sf):
     return R.upsert(stored(spark, sf), coming(spark, sf), "k", ["h"], "fetched")
 
 
-_ACTIONS = f"{_STORED}, {_COMING}, actions AS (SELECT CASE WHEN s.k IS NULL THEN 'insert' WHEN s.h <> c.h THEN 'update' ELSE 'touch' END AS action FROM coming c LEFT JOIN stored s USING (k))"
+ACTIONS_SQL = f"{_STORED}, {_COMING}, actions AS (SELECT CASE WHEN s.k IS NULL THEN 'insert' WHEN s.h <> c.h THEN 'update' ELSE 'touch' END AS action FROM coming c LEFT JOIN stored s USING (k))"
 
 
-@query("a16_run_counters", f"WITH {_ACTIONS} SELECT count(*) AS seen, count(*) FILTER (action <> 'touch') AS written, count(*) FILTER (action = 'touch') AS skipped, 'completed' AS status FROM actions")
+@query("a16_run_counters", f"WITH {ACTIONS_SQL} SELECT count(*) AS seen, count(*) FILTER (action <> 'touch') AS written, count(*) FILTER (action = 'touch') AS skipped, 'completed' AS status FROM actions")
 def a16(spark, sf):
     a = R.upsert_actions(stored(spark, sf), coming(spark, sf), "k", ["h"])
     errors = F.lit(0)
@@ -443,7 +443,7 @@ def a16(spark, sf):
     return a.agg(F.count("*").alias("seen"), written.alias("written"), F.count_if(F.col("action") == "touch").alias("skipped"), status.alias("status"))
 
 
-@query("m03_dry_run", f"WITH {_ACTIONS} SELECT action, count(*) AS n FROM actions GROUP BY action")
+@query("m03_dry_run", f"WITH {ACTIONS_SQL} SELECT action, count(*) AS n FROM actions GROUP BY action")
 def m03(spark, sf):
     return R.upsert_actions(stored(spark, sf), coming(spark, sf), "k", ["h"]).groupBy("action").agg(F.count("*").alias("n"))
 

@@ -18,6 +18,7 @@ from millrace.operators import relational as R
 from millrace.operators.checkpoints import settled
 from millrace.operators.chunking import Sizes, chunk_documents
 from millrace.operators.deltas import DeltaTable
+from millrace.operators.measures import action_counters, observed
 
 DOCUMENT = "source string, source_id string, entity_type string, title string, body string, game_version string"
 
@@ -56,7 +57,7 @@ def wrong_with(docs: DataFrame) -> Column:
 
 
 def ingest_batch(store: Store, batch: DataFrame, batch_id: int, sizes: Sizes = Sizes(), writer: str = "batch") -> dict:
-    """Commit a batch to the store; returns its counters.
+    """Commit a batch to the store; returns its counters, which are observed while its actions are settled.
 
     What is written follows the batch: changed documents and their chunks, and for unchanged ones, which are
     not cut again, the key and the number of the batch.  Only the keys and hashes of the batch's documents are
@@ -65,10 +66,11 @@ def ingest_batch(store: Store, batch: DataFrame, batch_id: int, sizes: Sizes = S
     stored = store.documents
     new = settled(with_keys(batch.where(wrong_with(batch).isNull())).withColumn("batch", F.lit(batch_id).cast("long")))
     old = stored.read(only=new, columns=["document_key", "content_hash"])
-    actions = settled(R.upsert_actions(old, new, "document_key", ["content_hash"]))
+    judged, passed = observed(R.upsert_actions(old, new, "document_key", ["content_hash"]), **action_counters())
+    actions = settled(judged)
     changed = new.join(actions.where("action <> 'touch'"), "document_key", "left_semi")
     seen = new.join(actions.where("action = 'touch'"), "document_key", "left_semi")
-    counters = actions.agg(F.count("*").alias("seen"), F.count_if(F.col("action") != "touch").alias("written"), F.count_if(F.col("action") == "touch").alias("skipped")).first().asDict()
+    counters = passed.get
     cut = chunk_documents(changed.select("document_key", F.concat("title", F.lit(" ("), "entity_type", F.lit(")")).alias("header"), F.lit("").alias("facts"), "body"), sizes)
     faults = batch.withColumn("message", wrong_with(batch)).where("message is not null")
     number = F.concat_ws(":", F.lit(writer), F.lit(batch_id), F.monotonically_increasing_id())  # a fault stands on its own, whatever its document is called
