@@ -9,7 +9,10 @@ position's last piece.
 The model is byte-pair: pieces merge best score first, leftmost first, so of all paths over the edges
 exactly one is the encoding, the one whose neighbouring pieces would not have merged across their
 common border (``Pieces.stable``).  Pieces never cross from other characters into a space mark, so
-words can be encoded apart.  Characters outside the vocabulary fall back to their bytes.
+words can be encoded apart, and so can the segments of a word between borders that no occurrence of a
+piece crosses; all segments of a batch are relaxed at once, so a long word takes as many steps as its
+longest segment has characters.  Words beyond ``INDEX_CHARS`` are indexed in parts, cut where two
+characters meet that stand side by side in no piece.  Characters outside the vocabulary fall back to their bytes.
 
 The vocabulary file is a parameter.  It is read on the driver and reaches the tasks with the code;
 its size is that of a vocabulary whatever the data.
@@ -34,6 +37,7 @@ MARK = "▁"
 NEVER = np.iinfo(np.int32).max
 INDEX_CHARS = 600_000
 CACHE_WORDS = 700_000
+CACHE_CHARS = 16_000_000
 
 
 class Pieces:
@@ -92,8 +96,29 @@ class Pieces:
         of = {c: k + 1 for k, c in enumerate(letters)}
         for row, p in enumerate(self.pieces):
             self.codes[row, : len(p)] = [of[c] for c in p]
+        inside = self.codes[:, 1:] > 0
+        self.beside = np.unique(self._pair(self.codes[:, :-1][inside], self.codes[:, 1:][inside]))  # letters side by side in a piece
         self.by_line = not any("\n" in p for p in self.pieces)
 
+    def _pair(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return one.astype(np.int64) * (self.n_letters + 2) + two
+
+    def parts(self, word: str, most: int) -> list[str]:
+        """The word in parts of at most ``most`` characters, if there are borders for that which no piece can cross."""
+        if len(word) <= most:
+            return [word]
+        codes = self.letter[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        key = self._pair(codes[:-1], codes[1:])
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        free = np.r_[np.flatnonzero(self.beside[at] != key) + 1, len(word)]
+        out, begin = [], 0
+        while begin < len(word):
+            k = max(int(np.searchsorted(free, begin + most, side="right")) - 1, 0)
+            end = int(free[k]) if free[k] > begin else int(free[np.searchsorted(free, begin, side="right")])
+            out.append(word[begin:end])
+            begin = end
+        return out
+
     def stable(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether pieces one and two stay apart when they stand side by side.
 
@@ -207,34 +232,44 @@ def encode_words(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.r_[pos, foreign.astype(np.int32)]
     token = np.r_[p.ids[row], (-2 - foreign).astype(np.int32)]
     stop = np.r_[pos + p.lengths[row], (foreign + 1).astype(np.int32)]
-    offset = (start - np.repeat(begin.astype(np.int32), size + 1)[start]).astype(np.uint16 if size.max() < 65536 else np.int32)
-    by = np.argsort(offset, kind="stable")  # edges by their position in the word
+    # How many occurrences cross the border before each character; none does at either side of a word.
+    crossed = np.cumsum(np.bincount(start + 1, minlength=len(points) + 2)[: len(points)] - np.bincount(stop, minlength=len(points) + 2)[: len(points)])
+    free = np.flatnonzero(crossed == 0)
+    segment = np.ones(len(points), dtype=bool)
+    segment[ends] = False
+    segment = segment[free]
+    first, after = free[segment], np.r_[free[1:], len(points)][segment]
+    home = np.zeros(len(points), dtype=np.int32)
+    home[free] = free
+    home = np.maximum.accumulate(home)
+    longest = int((after - first).max(initial=0))
+    offset = (start - home[start]).astype(np.uint16 if longest < 65536 else np.int32)
+    by = np.argsort(offset, kind="stable")  # edges by their position in the segment
     start, token, stop = start[by], token[by], stop[by]
-    cuts = np.searchsorted(offset[by], np.arange(int(size.max()) + 1))
+    cuts = np.searchsorted(offset[by], np.arange(longest + 1))
     last = np.full(len(points) + 1, NEVER, dtype=np.int32)  # NEVER: not reached
     back = np.zeros(len(points) + 1, dtype=np.int32)
-    last[begin] = -1
-    for lo, hi in zip(cuts, np.r_[cuts[1:], len(start)], strict=True):  # all words at once, by the place in the word
+    for k, (lo, hi) in enumerate(zip(cuts, np.r_[cuts[1:], len(start)], strict=True)):  # all segments at once, by the place in them
         s, t, e = start[lo:hi], token[lo:hi], stop[lo:hi]
-        reached = last[s] != NEVER
-        s, t, e = s[reached], t[reached], e[reached]
-        ok = p.stable(last[s], t)
-        last[e[ok]], back[e[ok]] = t[ok], s[ok]
-    which, cur = np.arange(len(words)), ends.copy()
+        if k:
+            reached = last[s] != NEVER
+            s, t, e = s[reached], t[reached], e[reached]
+            ok = p.stable(last[s], t)
+            s, t, e = s[ok], t[ok], e[ok]
+        last[e], back[e] = t, s
+    which, cur = np.arange(len(first)), after.copy()
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    while True:
-        going = cur > begin[which]
-        which, cur = which[going], cur[going]
-        if not len(which):
-            break
+    while len(which):
         found.append((which, last[cur]))
         cur = back[cur]
+        going = cur > first[which]
+        which, cur = which[going], cur[going]
     if not found:
         return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
     word = np.concatenate([w for w, _ in found][::-1])
     token = np.concatenate([t for _, t in found][::-1])
     by = np.argsort(word, kind="stable")
-    word, token = word[by], token[by]
+    word, token = (np.searchsorted(begin, first, side="right") - 1)[word[by]], token[by]
     if (token < 0).any():  # bytes instead of a character
         raw = [chr(points[-2 - t]).encode("utf-8", "surrogatepass") if t < 0 else None for t in token]
         reps = np.array([1 if r is None else len(r) for r in raw])
@@ -261,6 +296,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def words(self, text: str) -> list[str]:
@@ -282,7 +318,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts; a null or empty text has no ids."""
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.clear()
         index, fresh = self.index, []
         split = [self.words(t) if t else [] for t in texts]
@@ -291,14 +327,27 @@ class Encoder:
                 index[w] = len(index)
                 fresh.append(w)
         flats, counts, part, chars = [self.flat], [np.diff(self.offsets)], [], 0
-        for k, w in enumerate(fresh):
+
+        def flush(words: list[str]) -> None:
+            ids, offsets = encode_words(self.p, words)
+            flats.append(ids)
+            counts.append(np.diff(offsets))
+
+        for w in fresh:
+            self.chars += len(w)
+            if len(w) > INDEX_CHARS:
+                flush(part)
+                pieces = [encode_words(self.p, [x])[0] for x in self.p.parts(w, INDEX_CHARS)]
+                flats += pieces
+                counts.append(np.array([sum(map(len, pieces))]))
+                part, chars = [], 0
+                continue
             part.append(w)
             chars += len(w) + 1
-            if chars >= INDEX_CHARS or k == len(fresh) - 1:
-                ids, offsets = encode_words(self.p, part)
-                flats.append(ids)
-                counts.append(np.diff(offsets))
+            if chars >= INDEX_CHARS:
+                flush(part)
                 part, chars = [], 0
+        flush(part)
         self.flat = np.concatenate(flats)
         self.offsets = np.r_[0, np.cumsum(np.concatenate(counts))]
         n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))

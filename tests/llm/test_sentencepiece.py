@@ -53,3 +53,35 @@ def test_round_trip(docs, empty, rows):
 def test_marks_in_the_text(spark):
     one = spark.createDataFrame([(1, "a▁b")], "doc_id long, text string")
     assert C.encode_checked(one).first()["round_trip"] is False
+
+
+def test_long_words(library, monkeypatch):
+    import base64
+    import time
+
+    r = random.Random(7)
+    p = C.pieces_at(C.MODEL)
+    some = [
+        base64.b64encode(r.randbytes(300_000)).decode(), r.randbytes(100_000).hex(), "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(50_000)),
+        "".join(r.choice(["ing", "the", "ab", "Zq", "\U0001f600", "é"]) for _ in range(50_000)), "a" * 3000, "two words", "",
+    ]
+    want = library.encode(some)
+    for most in (C.INDEX_CHARS, 1000, 7):
+        monkeypatch.setattr(C, "INDEX_CHARS", most)
+        texts = some if most > 7 else [t[:2000] for t in some]
+        flat, offsets = C.Encoder(p).encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == (want if most > 7 else library.encode(texts))
+        assert all("".join(p.parts(t, most)) == t for t in texts)
+    monkeypatch.undo()
+    assert max(map(len, p.parts(some[0], 1000))) <= 1000 and p.parts("a" * 3000, 1000) == ["a" * 3000]
+    began = time.monotonic()
+    C.Encoder(p).encode([base64.b64encode(r.randbytes(1_500_000)).decode()])
+    assert time.monotonic() - began < 20
+
+
+def test_kept_words_are_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(C, "CACHE_CHARS", 10)
+    e = C.Encoder(C.pieces_at(C.MODEL))
+    first = e.encode(["one two three four"])[0].tolist()
+    assert e.chars > 10 and e.encode(["one two three four"])[0].tolist() == first
+    assert e.chars == sum(map(len, e.index))
