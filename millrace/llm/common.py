@@ -12,6 +12,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of df has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for k in count() if (name := f"{stem}{k or ''}") not in taken)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no more
     than the tasks it ran.  The folder is the session's; one is made only on a local master, as a

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import load, settled
+from millrace.llm.common import free_name, load, settled
 
 WORDS = 5
 PERCENT = 80
@@ -103,10 +103,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_text: str = "text",
 
     Rows are judged by a 64-bit hash of their text alone, so ids may be null or repeat and copies are
     judged once.  Null and empty texts stay."""
-    text = F.xxhash64(doc_text)
-    keyed = docs.select(text.alias("__text"), F.col(doc_text).alias("text"))
-    bad = settled(contained_items(keyed, items, "__text", "text", item_id, item_text, **more).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.withColumn("__text", text).join(small(bad, BROADCAST_IDS), F.col("__text") == F.col("__bad"), "left_anti").drop("__text")
+    text, name = F.xxhash64(doc_text), free_name(docs, "hash")
+    keyed = docs.select(text.alias("hash"), F.col(doc_text).alias("text"))
+    bad = settled(contained_items(keyed, items, "hash", "text", item_id, item_text, **more).select(F.col("doc_id").alias(name)).distinct())
+    return docs.withColumn(name, text).join(small(bad, BROADCAST_IDS), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

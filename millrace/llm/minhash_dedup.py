@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, chunks, components, load, settled, shingle_hashes, word_hashes, words_of
+from millrace.llm.common import arrow_map, chunks, components, free_name, load, settled, shingle_hashes, word_hashes, words_of
 
 K = 48
 BLOCK = 256
@@ -286,13 +286,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays.  Of rows with equal id and text one stays.  Texts without shingles all stay."""
     rows = _grouped(docs, id_col, text_col, words, percent, k, block).where("n > 0")
     judged = rows.groupBy("rid").agg(F.max(F.col("row") == F.col("head.row")).alias("stays"), F.count("*").alias("times"))
-    marks = settled(judged.where("not stays or times > 1").select(F.col("rid").alias("__rid"), "stays"))
-    marked = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    kept = marked.join(_small(marks.select("__rid")), F.col("__row") == F.col("__rid"), "left_anti")
-    repeated = marks.where("stays").select("__rid")
+    row = free_name(docs, "row")
+    marks = settled(judged.where("not stays or times > 1").select(F.col("rid").alias(row), "stays"))
+    marked = docs.withColumn(row, F.xxhash64(id_col, text_col))
+    kept = marked.join(_small(marks.select(row)), row, "left_anti")
+    repeated = marks.where("stays").select(row)
     if not repeated.isEmpty():
-        kept = kept.unionByName(marked.join(_small(repeated), F.col("__row") == F.col("__rid"), "left_semi").dropDuplicates(["__row"]))
-    return kept.drop("__row")
+        kept = kept.unionByName(marked.join(_small(repeated), row, "left_semi").dropDuplicates([row]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

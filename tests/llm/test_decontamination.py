@@ -79,3 +79,10 @@ def test_rows_are_judged_by_their_text(spark):
     # the search by id: rows of one id count as one document, rows without an id are left out
     found = D.contained_items(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (4, 1)}
+
+
+def test_clashing_columns_stay(spark):
+    names = ["__row", "__rid", "row", "ROW1", "stays", "hash", "Hash1", "__text", "__bad", "a.b"]
+    some = spark.createDataFrame([(k, f"text {k} has words of its own like w{k} x{k} y{k}", *[f"{c}{k}" for c in names]) for k in range(4)] * 2, ["doc_id", "text", *names])
+    out = D.drop_contaminated(some, spark.createDataFrame([(1, "seven words stand here in this item")], "item_id long, text string"))
+    assert out.columns == some.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in some.collect()}

@@ -94,3 +94,10 @@ def test_edges(spark, empty, docs):
 
 def test_retained_bound():
     assert M.retained_shared(85) == 27 and M.retained_shared(80) == 24
+
+
+def test_clashing_columns_stay(spark):
+    names = ["__row", "__rid", "row", "ROW1", "stays", "hash", "Hash1", "__text", "__bad", "a.b"]
+    some = spark.createDataFrame([(k, f"text {k} has words of its own like w{k} x{k} y{k}", *[f"{c}{k}" for c in names]) for k in range(4)] * 2, ["doc_id", "text", *names])
+    out = M.drop_near_duplicates(some)
+    assert out.columns == some.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in some.collect()}
