@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators.broadcasts import small
+from millrace.operators import products
+from millrace.operators.broadcasts import few, small
 
 RRF_K = 60
 BOOST = 1.15
@@ -15,6 +16,8 @@ FLOOR = 0.35
 BANDS = [(0.72, "high"), (0.50, "medium"), (0.28, "low")]
 WEIGHTS = {"strength": 0.45, "corroboration": 0.25, "authority": 0.20, "agreement": 0.10}
 CONTEXT_CHARS = 24_000
+#: Queries that are scored by one product with a batch of documents.
+FEW_QUERIES = 2000
 
 
 def together(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,11 +31,14 @@ def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("term"))
 
 
-def lexical_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question", doc_text: str = "body") -> DataFrame:
+def lexical_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question", doc_text: str = "body", depth: int | None = None) -> DataFrame:
     """(query_id, doc_id, lexical_score): share of the query's distinct tokens that the document has.
 
-    The queries' terms go to the documents if they are few enough, so no term gathers its documents."""
+    A few queries go to the documents and are scored a batch of documents at once; many meet them term by
+    term.  With a depth, hits that are not among a query's first by score and doc_id may be left out."""
     wanted = terms(queries, "query_id", query_text)
+    if few(queries, FEW_QUERIES):
+        return products.shares(wanted, together(docs, "doc_id", doc_text), doc_text, depth)
     size = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     hits = terms(together(docs, "doc_id", doc_text), "doc_id", doc_text).join(small(wanted), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_hits"))
     return hits.join(small(size), "query_id").select("query_id", "doc_id", (F.col("n_hits") / F.col("n_terms")).alias("lexical_score"))
@@ -45,23 +51,31 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 512) -> DataFrame:
-    """(id, bucket, w): sparse unit vectors of signed hash buckets of tokens and token pairs, 1 + ln(tf) each."""
-    weighed = term_counts(df, id_col, text_col).select(id_col, T.bucket(F.col("term"), dim).alias("bucket"), (T.bucket_sign(F.col("term")) * (1 + F.ln("tf"))).alias("w"))
-    by_bucket = weighed.groupBy(id_col, "bucket").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return by_bucket.withColumn("norm", norm).where("norm > 0").select(id_col, "bucket", (F.col("w") / F.col("norm")).alias("w"))
+    """(id, bucket, w): sparse unit vectors of signed hash buckets of tokens and token pairs, 1 + ln(tf) each.
 
+    id is a key; a text's terms are counted within its row."""
+    return products.embedded(together(df, id_col, text_col), id_col, text_col, dim)
 
-def dense_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question", doc_text: str = "body", dim: int = 512) -> DataFrame:
+
+def dense_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question", doc_text: str = "body", dim: int = 512, depth: int | None = None) -> DataFrame:
     """(query_id, doc_id, vector_score): cosine of hashed embeddings, not below 0.
 
-    The queries' vectors go to the documents if they are few enough, so no bucket gathers its documents."""
-    q = hashed_embedding(queries, "query_id", query_text, dim).withColumnRenamed("w", "qw")
+    A few queries go to the documents and are scored a batch of documents at once; many meet them bucket by
+    bucket.  With a depth, hits that are not among a query's first by score and doc_id may be left out."""
+    q = hashed_embedding(queries, "query_id", query_text, dim)
+    if few(queries, FEW_QUERIES):
+        return products.cosines(q, together(docs, "doc_id", doc_text), doc_text, dim, depth)
     d = hashed_embedding(docs, "doc_id", doc_text, dim).withColumnRenamed("w", "dw")
-    dot = d.join(small(q), "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
+    dot = d.join(small(q.withColumnRenamed("w", "qw")), "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
     return dot.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.round("dot", 6)).alias("vector_score"))
 
 
+def first_hits(queries: DataFrame, docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``depth`` dense and lexical hits of each query, ranked."""
+    lexical = lexical_hits(queries, docs, depth=depth).withColumn("lexical_score", F.round("lexical_score", 6))
+    return top_per_query(dense_hits(queries, docs, depth=depth), "vector_score", depth), top_per_query(lexical, "lexical_score", depth)
+
+
 def top_per_query(hits: DataFrame, score: str, depth: int, rank: str = "rank", tie: str = "doc_id") -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(score), tie)
     return hits.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= depth)
@@ -82,8 +96,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, limit: int) -> DataFrame:
 def hybrid_search(queries: DataFrame, docs: DataFrame, limit: int = 8) -> DataFrame:
     """Ranked hits (query_id, doc_id, vector_score, lexical_score, score, rank) of each query."""
     depth = max(4 * limit, 20)
-    lexical = top_per_query(lexical_hits(queries, docs).withColumn("lexical_score", F.round("lexical_score", 6)), "lexical_score", depth)
-    return fuse(top_per_query(dense_hits(queries, docs), "vector_score", depth), lexical, limit)
+    return fuse(*first_hits(queries, docs, depth), limit)
 
 
 def boosted(hits: DataFrame, matches: Column) -> DataFrame:

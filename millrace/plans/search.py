@@ -99,5 +99,5 @@ fused AS (SELECT query_id, doc_id, coalesce(vector_score, 0.0::DOUBLE) AS vector
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= 8""")
 def indexed_hybrid(spark, sf):
     lexical = postings.search(built(spark, sf, "simple"), any_word(spark, sf), limit=32)
-    dense = R.top_per_query(R.dense_hits(questions(spark, sf), knowledge_documents(spark, sf)), "vector_score", 32)
+    dense = R.top_per_query(R.dense_hits(questions(spark, sf), knowledge_documents(spark, sf), depth=32), "vector_score", 32)
     return R.fuse(dense, lexical, 8).withColumn("rank", F.col("rank").cast("long"))

@@ -50,8 +50,7 @@ def questions_as_queries(spark, sf):
 def ranks(spark, sf):
     asked, docs = questions(spark, sf), knowledge_documents(spark, sf)
     depth = 32
-    dense = R.top_per_query(R.dense_hits(asked, docs), "vector_score", depth)
-    lexical = R.top_per_query(R.lexical_hits(asked, docs).withColumn("lexical_score", F.round("lexical_score", 6)), "lexical_score", depth)
+    dense, lexical = R.first_hits(asked, docs, depth)
     place = lambda df, name: df.select("query_id", "doc_id", F.col("rank").cast("long").alias(name))
     final = R.fuse(dense, lexical, 8)
     return place(final, "final_rank").join(place(dense, "dense_rank"), ["query_id", "doc_id"], "left").join(place(lexical, "lexical_rank"), ["query_id", "doc_id"], "left")
