@@ -43,7 +43,8 @@ def question_words(spark, sf):
 
 
 def questions_as_queries(spark, sf):
-    return questions(spark, sf).select("query_id", F.array_join(F.slice(T.tokens(F.col("question")), 1, 3), " ").alias("query"))
+    """The first three words of each question, quoted: an ``or`` among them is a word and parts nothing."""
+    return questions(spark, sf).select("query_id", F.array_join(F.transform(F.slice(T.tokens(F.col("question")), 1, 3), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ").alias("query"))
 
 
 @query("w02_ranks_before_and_after", f"WITH {Q.HYBRID_SQL} SELECT query_id, doc_id, d.rank AS dense_rank, x.rank AS lexical_rank, h.rank AS final_rank FROM hits h LEFT JOIN dense_top d USING (query_id, doc_id) LEFT JOIN lex_top x USING (query_id, doc_id)")
