@@ -202,10 +202,9 @@ def keyword_hints(questions: DataFrame, keywords: DataFrame, word_boundary: bool
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest of all vectors by cosine, for a stated set of queries.
 
-    queries and vectors: vec_id, embedding.  The queries are few and go to every partition of the vectors."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.where("embedding is not null").join(small(q)).select("query_id", "vec_id", F.greatest(F.lit(0.0), F.round(T.cosine(F.col("q"), F.col("embedding")), 6)).alias("similarity"))
-    return top_per_query(scored, "similarity", k, tie="vec_id")
+    queries and vectors: vec_id, embedding.  Vectors are multiplied with blocks of queries where they are, and
+    only what is among the first k of its task moves."""
+    return top_per_query(products.nearest(queries, vectors, k), "similarity", k, tie="vec_id")
 
 
 def matches(asked: DataFrame, docs: DataFrame, doc_text: str = "body") -> DataFrame:

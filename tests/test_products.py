@@ -36,3 +36,32 @@ def test_no_pair_is_shuffled(spark):
     asked, docs = _texts(spark)
     plan = R.dense_hits(asked, docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def _nearest_by_hand(rows, asked, k):
+    def cosine(a, b):
+        if a is None or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return max(0.0, round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 6)) if norm else 0.0
+
+    out = set()
+    for q, a in asked:
+        hits = sorted((-cosine(a, b), v) for v, b in rows if b is not None)[:k]
+        out |= {(q, v, -s, i) for i, (s, v) in enumerate(hits, 1)}
+    return out
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, [rng.randint(-4, 4) * 1.0 for _ in range(3)]) for k in range(150)] + [(k, [1.0, 2.0, 3.0]) for k in range(200, 230)]
+    rows += [(300, None), (301, [0.0, 0.0, 0.0]), (302, [1.0, None, 2.0]), (303, []), (304, [1.0, 2.0])]
+    asked = rows[:20] + rows[-6:]
+    vectors, queries = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    expected = _nearest_by_hand(rows, asked, 4)
+    for block, tile in ((products.BLOCK_BYTES, products.TILE), (200, 60)):
+        monkeypatch.setattr(products, "BLOCK_BYTES", block)
+        monkeypatch.setattr(products, "TILE", tile)
+        got = R.nearest(queries, vectors, 4)
+        assert {tuple(r) for r in got.collect()} == expected
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
