@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import products
 from millrace.operators.broadcasts import few, small
+from millrace.operators.checkpoints import settled
 
 RRF_K = 60
 BOOST = 1.15
@@ -45,9 +46,15 @@ def lexical_hits(queries: DataFrame, docs: DataFrame, query_text: str = "questio
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf) of each text's tokens and pairs of neighbouring tokens."""
-    words = T.tokens(F.col(text_col))
-    return together(df, id_col, text_col).select(id_col, F.explode(F.concat(words, T.bigrams(words))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of each text's tokens and pairs of neighbouring tokens.
+
+    Terms are counted where their text is; only those of ids that several rows have are put together."""
+    counted = products.counts(together(df, id_col, text_col), id_col, text_col)
+    twice = df.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    if few(twice, 0):
+        return counted
+    same, twice = F.col(id_col).eqNullSafe(F.col("__id")), small(settled(twice))
+    return counted.join(twice, same, "left_anti").unionByName(counted.join(twice, same, "left_semi").groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 512) -> DataFrame:

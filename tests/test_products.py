@@ -65,3 +65,39 @@ def test_nearest_in_blocks(spark, monkeypatch):
         got = R.nearest(queries, vectors, 4)
         assert {tuple(r) for r in got.collect()} == expected
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_are_bounded_by_values(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(products, "VALUES", 10)
+    lists = [[0] * n for n in (3, 3, 3, 3, 40, 0, 9, 1, 1)] + [None]
+    got = [(ids.to_pylist(), rows.tolist()) for ids, rows, _ in products._slices(iter([pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(lists)], ["id", "x"])]))]
+    assert [i for ids, _ in got for i in ids] == list(range(10)) and all(len(rows) <= 10 or len(ids) == 1 for ids, rows in got) and len(got) == 5
+
+
+def test_sums_are_kept_and_forgotten(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    known = products._Sums()
+    sums = lambda terms: [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in terms]
+    for most in (100, 0):
+        monkeypatch.setattr(products, "KNOWN", most)
+        for words in (["a", "b"], ["c", "b", "a"], ["b"]):
+            first = np.arange(len(words))
+            got = known.of(words, first, first[::-1], lambda at, w=words: [f"{w[i]} {w[len(w) - 1 - i]}" for i in at])
+            assert got.tolist() == sums(words + [f"{x} {y}" for x, y in zip(words, words[::-1], strict=True)])
+
+
+def test_term_counts_without_grouping(spark):
+    from collections import Counter
+
+    docs = [(1, "b a b a"), (2, None), (3, "x"), (4, "")]
+    df = spark.createDataFrame(docs, "doc_id long, body string")
+    tf = R.term_counts(df, "doc_id", "body")
+    assert "Aggregate" not in tf._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(map(tuple, tf.collect())) == Counter([(1, "a", 2), (1, "b", 2), (1, "b a", 2), (1, "a b", 1), (3, "x", 1)])
+    twice = df.unionByName(spark.createDataFrame([(1, "a c"), (None, "q"), (None, "q")], "doc_id long, body string"))
+    assert Counter(map(tuple, R.term_counts(twice, "doc_id", "body").collect())) == Counter([(1, "a", 3), (1, "b", 2), (1, "b a", 2), (1, "a b", 1), (1, "c", 1), (1, "a c", 1), (3, "x", 1), (None, "q", 2)])
