@@ -87,11 +87,15 @@ def for_characters(costs: DataFrame, characters: DataFrame) -> DataFrame:
 def with_own_edges(costs: DataFrame, characters: DataFrame, own: DataFrame) -> DataFrame:
     """(char_id, map_id, seconds): as ``for_characters``, where a character may first take an edge of its own.
 
-    own: char_id, target, seconds; such edges start wherever the character stands, so they serve once."""
+    own: char_id, target, seconds; such edges start wherever the character stands, so they serve once.
+    Characters who may begin at the same places at the same cost share one list of what they reach."""
     who = characters.select("char_id", "faction", (F.col("level") >= 40).alias("grown"), F.col("map_id").alias("origin"))
     first = who.select("*", F.lit(0.0).alias("before")).unionByName(who.drop("origin").join(own.select("char_id", F.col("target").alias("origin"), F.col("seconds").alias("before")), "char_id"))
-    reached = first.join(small(costs), ["faction", "grown", "origin"])
-    return reached.groupBy("char_id", F.col("node").alias("map_id")).agg(F.min(F.col("before") + F.col("seconds")).alias("seconds"))
+    begun = first.groupBy("char_id").agg(F.sort_array(F.collect_set(F.struct("faction", "grown", "origin", "before"))).alias("starts"))
+    starts = begun.select("starts").distinct().select("starts", F.explode("starts").alias("s")).select("starts", "s.*")
+    reached = starts.join(small(costs), ["faction", "grown", "origin"]).groupBy("starts", F.col("node").alias("map_id")).agg(F.min(F.col("before") + F.col("seconds")).alias("seconds"))
+    lists = settled(reached.groupBy("starts").agg(F.collect_list(F.struct("map_id", "seconds")).alias("reached")))
+    return begun.join(small(lists), "starts").select("char_id", F.explode("reached").alias("r")).select("char_id", "r.*")
 
 
 def skipped(chosen: DataFrame, completed: DataFrame, quests: DataFrame) -> DataFrame:
