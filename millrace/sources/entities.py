@@ -134,7 +134,8 @@ def documents(details: DataFrame, specs: tuple[EntitySpec, ...] = SPECS) -> Data
     """(entity, source_id, title, body, facts) of (entity, id, payload).
 
     Payloads that are null or no JSON, kinds without a spec and records without a name give no document.
-    A raid whose category has the type dungeon is one.  Facts are strings, without empty ones."""
+    A raid whose category has the type dungeon is one.  Facts are strings, without empty ones.
+    A payload is parsed once: what is exploded is not put into the places that read it."""
     v = F.col("__v")
     body = F.lit(None).cast("string")
     for s in specs:
@@ -142,6 +143,6 @@ def documents(details: DataFrame, specs: tuple[EntitySpec, ...] = SPECS) -> Data
     dungeon = (F.col("entity") == "raid") & (F.upper(_local(v, "$.category.type")) == "DUNGEON")
     fact = lambda k: F.when(F.try_variant_get(v, f"$.{k}.name", "variant").isNotNull(), _local(v, f"$.{k}.name")).otherwise(F.try_variant_get(v, f"$.{k}", "string"))
     facts = F.create_map(F.lit("id"), F.col("id").cast("string"), *[x for k in FACTS for x in (F.lit(k), fact(k))])
-    parsed = details.where(F.col("entity").isin(*[s.entity for s in specs])).select("entity", "id", F.try_parse_json("payload").alias("__v"))
+    parsed = details.where(F.col("entity").isin(*[s.entity for s in specs])).select("entity", "id", F.explode(F.array(F.try_parse_json("payload"))).alias("__v"))
     out = parsed.select(F.when(dungeon, "dungeon").otherwise(F.col("entity")).alias("entity"), F.col("id").cast("string").alias("source_id"), _local(v, "$.name").alias("title"), body.alias("body"), S.pruned(facts).alias("facts"))
     return out.where("title <> ''")

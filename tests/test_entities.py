@@ -71,3 +71,11 @@ def test_index_of_sitemaps(spark):
     roots = [("<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in "abcez") + "</sitemapindex>",), ("<urlset><url><loc>u3</loc></url></urlset>",), ("broken",), (None,)]
     got = records.sitemap_pages(spark.createDataFrame(roots, "xml string"), spark.createDataFrame(maps, "url string, xml string"), ["u"])
     assert sorted(r["url"] for r in got.collect()) == ["u1", "u2", "u3"]
+
+
+def test_payloads_are_parsed_once(spark):
+    details = spark.createDataFrame([("pet", 1, '{"name": "A", "description": "B"}'), ("pet", 2, None), ("pet", 3, "{oops")], "entity string, id long, payload string")
+    docs = E.documents(details)
+    assert [(r["source_id"], r["title"], r["body"]) for r in docs.collect()] == [("1", "A", "B")]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") == 1 or plan.count("parseJson") == 1, plan[:2000]
