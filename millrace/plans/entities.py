@@ -9,6 +9,8 @@ from millrace.plans.catalog import query
 from millrace.sources import entities as E
 from millrace.sources.tables import table
 
+#: Keys of a page of an index.
+PAGE = 10_000
 _KINDS = [s.entity for s in E.SPECS]
 _KIND_SQL = f"{_KINDS!r}[(p_partkey % 8)::INTEGER + 1]"
 
@@ -22,9 +24,9 @@ def _kind():
 
 
 def index_payloads(spark, sf):
-    """One index a kind, every 17th entry without an id."""
+    """An index a kind in pages by ranges of PAGE keys, every 17th entry without an id."""
     entry = F.struct(F.when(_k() % 17 != 0, _k()).alias("id"), F.col("p_name").alias("name"))
-    per = table(spark, sf, "part").groupBy(_kind().alias("entity")).agg(F.collect_list(entry).alias("x"))
+    per = table(spark, sf, "part").groupBy(_kind().alias("entity"), F.floor(_k() / PAGE)).agg(F.collect_list(entry).alias("x"))
     key = F.create_map(*[F.lit(x) for s in E.SPECS for x in (s.entity, s.index_key)])
     return per.select("entity", F.to_json(F.map_from_arrays(F.array(F.element_at(key, F.col("entity"))), F.array("x"))).alias("payload"))
 
