@@ -77,10 +77,18 @@ def dense_hits(queries: DataFrame, docs: DataFrame, query_text: str = "question"
     return dot.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.round("dot", 6)).alias("vector_score"))
 
 
-def first_hits(queries: DataFrame, docs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``depth`` dense and lexical hits of each query, ranked."""
-    lexical = lexical_hits(queries, docs, depth=depth).withColumn("lexical_score", F.round("lexical_score", 6))
-    return top_per_query(dense_hits(queries, docs, depth=depth), "vector_score", depth), top_per_query(lexical, "lexical_score", depth)
+def first_hits(queries: DataFrame, docs: DataFrame, depth: int, query_text: str = "question", doc_text: str = "body", dim: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The first ``depth`` dense and lexical hits of each query, ranked.
+
+    A few queries are scored both ways in one pass over the documents."""
+    if not few(queries, FEW_QUERIES):
+        lexical = lexical_hits(queries, docs, query_text, doc_text, depth).withColumn("lexical_score", F.round("lexical_score", 6))
+        return top_per_query(dense_hits(queries, docs, query_text, doc_text, dim, depth), "vector_score", depth), top_per_query(lexical, "lexical_score", depth)
+    hits = products.both(hashed_embedding(queries, "query_id", query_text, dim), terms(queries, "query_id", query_text), together(docs, "doc_id", doc_text), doc_text, dim, depth)
+    w = Window.partitionBy("kind", "query_id").orderBy(F.desc("score"), "doc_id")
+    first = settled(hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth))
+    of = lambda kind, name: first.where(F.col("kind") == kind).select("query_id", "doc_id", F.col("score").alias(name), "rank")
+    return of("dense", "vector_score"), of("lexical", "lexical_score")
 
 
 def top_per_query(hits: DataFrame, score: str, depth: int, rank: str = "rank", tie: str = "doc_id") -> DataFrame:

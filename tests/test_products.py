@@ -101,3 +101,39 @@ def test_term_counts_without_grouping(spark):
     assert Counter(map(tuple, tf.collect())) == Counter([(1, "a", 2), (1, "b", 2), (1, "b a", 2), (1, "a b", 1), (3, "x", 1)])
     twice = df.unionByName(spark.createDataFrame([(1, "a c"), (None, "q"), (None, "q")], "doc_id long, body string"))
     assert Counter(map(tuple, R.term_counts(twice, "doc_id", "body").collect())) == Counter([(1, "a", 3), (1, "b", 2), (1, "b a", 2), (1, "a b", 1), (1, "c", 1), (1, "a c", 1), (3, "x", 1), (None, "q", 2)])
+
+
+def test_words_and_sums_are_made_together(monkeypatch):
+    import hashlib
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [None, "", "a", "it's é1é x", "--", *("".join(rng.choice("ab 1'-é日") for _ in range(rng.randint(0, 90))) for _ in range(300)), None]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["zz", *texts]).slice(1)], ["id", "text"])
+    for most in (1, 60, 10**6):
+        monkeypatch.setattr(products, "BYTES", most)
+        got = [x for b in products._words(iter([rows])) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert got == [(i, re.findall("[a-z0-9']+", t or "")) for i, t in enumerate(texts)]
+    terms = ["x" * n for n in (54, 55, 56, 63, 64, 200)] + ["é" * 27, "é" * 28] + [t or "" for t in texts]
+    monkeypatch.setattr(products, "LANES", 100)
+    assert products._sums(pa.array(["", *terms]).slice(1)).tolist() == [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in terms]
+
+
+def test_one_pass_scores_both_ways(spark):
+    asked, docs = _texts(spark)
+    for df in R.first_hits(asked, docs, 5):
+        assert df.count() and "Arrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_stay_where_they_are(spark):
+    from millrace.plans import retrieval as Q
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan.split("Arrow")[0] and "hashpartitioning(doc_id" not in plan and "BroadcastHashJoin" in plan
