@@ -35,7 +35,7 @@ def w02(spark, sf):
 
 @query("w03_first_hit_per_source", f"WITH {Q.HYBRID_SQL} SELECT query_id, source, min(rank) AS rank FROM hits JOIN knowledge USING (doc_id) GROUP BY query_id, source")
 def w03(spark, sf):
-    return Q.hits(spark, sf).join(knowledge_documents(spark, sf).select("doc_id", "source"), "doc_id").groupBy("query_id", "source").agg(F.min("rank").cast("long").alias("rank"))
+    return Q.found(spark, sf).join(knowledge_documents(spark, sf).select("doc_id", "source"), "doc_id").groupBy("query_id", "source").agg(F.min("rank").cast("long").alias("rank"))
 
 
 @query("j03_policy_lookup", f"WITH {KNOWLEDGE_SQL}, {policies_sql()} SELECT doc_id, tier, licence FROM knowledge JOIN policies USING (source)")

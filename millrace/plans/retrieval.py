@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import retrieval as R
+from millrace.operators.broadcasts import small
+from millrace.operators.checkpoints import settled
 from millrace.plans.catalog import query
 from millrace.sources.tables import KNOWLEDGE_SQL, QUESTIONS_SQL, knowledge_documents, policies, policies_sql, questions, sectioned_bodies, table
 
@@ -48,6 +50,11 @@ def hits(spark, sf):
     return R.hybrid_search(questions(spark, sf), knowledge_documents(spark, sf), limit=8)
 
 
+def found(spark, sf):
+    """The hits, found once, to be joined with the documents; while they are few they go to the texts, which stay where they are."""
+    return small(settled(hits(spark, sf)))
+
+
 @query("k20_hybrid_search", f"WITH {HYBRID_SQL} SELECT query_id, doc_id, vector_score, lexical_score, score, rank FROM hits")
 def hybrid(spark, sf):
     return hits(spark, sf).withColumn("rank", F.col("rank").cast("long"))
@@ -98,7 +105,7 @@ judged AS (
 
 def judged(spark, sf):
     docs = knowledge_documents(spark, sf)
-    sourced = hits(spark, sf).join(docs.select("doc_id", "source"), "doc_id").join(F.broadcast(policies(spark).select("source", "authority")), "source")
+    sourced = found(spark, sf).join(docs.select("doc_id", "source"), "doc_id").join(F.broadcast(policies(spark).select("source", "authority")), "source")
     return R.confidence(sourced)
 
 
@@ -132,7 +139,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS numb
   CASE WHEN tier IN ('full_text', 'quotation') THEN {_EXCERPT} END AS excerpt FROM firsts WHERE nth = 1""")
 def citations(spark, sf):
     docs = knowledge_documents(spark, sf).withColumn("document_key", F.concat_ws(":", "source", "game_version"))
-    joined = hits(spark, sf).join(docs, "doc_id").join(F.broadcast(policies(spark)), "source").withColumnRenamed("body", "text")
+    joined = found(spark, sf).join(docs, "doc_id").join(F.broadcast(policies(spark)), "source").withColumnRenamed("body", "text")
     return R.citations(joined).withColumn("number", F.col("number").cast("long"))
 
 
@@ -147,7 +154,7 @@ within AS (SELECT * FROM cut WHERE cut IS NULL OR rank < cut)"""
 def blocks(spark, sf):
     docs = knowledge_documents(spark, sf)
     head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" (source: "), F.col("source"), F.lit(", "), F.col("game_version"), F.lit(")\n"), F.col("body"))
-    return hits(spark, sf).join(docs, "doc_id").select("query_id", "rank", head.alias("block"))
+    return found(spark, sf).join(docs, "doc_id").select("query_id", "rank", head.alias("block"))
 
 
 @query("w04_context_budget", f"WITH {_BLOCKS} SELECT query_id, rank, CAST(total AS BIGINT) AS total FROM within")
@@ -165,7 +172,7 @@ def context(spark, sf):
   FROM hits JOIN knowledge USING (doc_id))
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM b""")
 def boosted(spark, sf):
-    joined = hits(spark, sf).join(knowledge_documents(spark, sf).select("doc_id", "entity_type"), "doc_id")
+    joined = found(spark, sf).join(knowledge_documents(spark, sf).select("doc_id", "entity_type"), "doc_id")
     return R.boosted(joined, F.col("entity_type").isin("type1", "type3", "type5", "type7")).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
