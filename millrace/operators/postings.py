@@ -16,19 +16,20 @@ covers; close words and words in the title count more.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import text as T
 from millrace.functions.stems import Stems
 from millrace.operators.broadcasts import small
 from millrace.operators.checkpoints import settled
 from millrace.operators.fulltext import BODY, TITLE, alternatives
+from millrace.operators.products import BYTES, cut, runs
 
 BUCKETS = 64
 #: Up to this many distinct words of all queries are named in the scan's filter; more are joined.
@@ -49,24 +50,36 @@ def _analyser(config: str) -> Callable[[str], str]:
 def postings(docs: DataFrame, config: str = "english", title_col: str = "title", body_col: str = "body", keep: list[str] | None = None) -> DataFrame:
     """(term, doc_id, title array<int>, body array<int>) and the columns ``keep`` of docs: the places of each term, from 1.
 
-    A word that is left out has a place all the same.  Null titles and bodies are empty."""
+    A word that is left out has a place all the same.  Null titles and bodies are empty.  Some documents are
+    one batch: their words are coded once, and a term's analysis is made once a distinct word."""
     keep = keep or []
-    words = re.compile(T.TOKEN)
+
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term_of = _analyser(config)
         for b in batches:
-            for k in range(b.num_rows):
-                found: dict[str, tuple[list[int], list[int]]] = {}
-                place = 0
-                for part, column in ((0, 1), (1, 2)):
-                    for word in words.findall(b.column(column)[k].as_py() or ""):
-                        place += 1
-                        if term := term_of(word):
-                            found.setdefault(term, ([], []))[part].append(place)
-                rest = [pa.repeat(b.column(3 + i)[k], len(found)) for i in range(len(keep))]
-                columns = [pa.array(list(found), pa.string()), pa.repeat(b.column(0)[k], len(found)), *(pa.array([x[i] for x in found.values()], pa.list_(pa.int32())) for i in (0, 1)), *rest]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "title", "body", *keep])
+            parts = [pc.fill_null(b.column(i), "") for i in (1, 2)]
+            sizes = sum(pc.binary_length(p).to_numpy(zero_copy_only=False).astype(np.int64) for p in parts)
+            for lo, n in runs(sizes, BYTES):
+                (title_at, title), (body_at, body) = (cut(p.slice(lo, n)) for p in parts)
+                in_title, in_body = np.diff(title_at), np.diff(body_at)
+                row = np.r_[np.repeat(np.arange(n), in_title), np.repeat(np.arange(n), in_body)]
+                place = 1 + np.arange(len(row)) - np.r_[np.repeat(title_at[:-1], in_title), len(title) + np.repeat(body_at[:-1] - in_title, in_body)]
+                coded = pa.concat_arrays([title, body]).dictionary_encode()
+                made = pa.array([term_of(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                term = made.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+                key = np.where(np.array([bool(t) for t in made.dictionary.to_pylist()], bool)[term], term * n + row, -1)
+                order = np.argsort(key, kind="stable")  # a term's rows stand together, places of a row stay in order
+                order = order[np.count_nonzero(key < 0) :]
+                starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+                of_title = order < len(title)
+                before = np.r_[0, np.cumsum(of_title)][np.r_[starts, len(order)]]
+                n_title = np.diff(before)
+                n_body = np.diff(np.r_[starts, len(order)]) - n_title
+                terms, rows = pa.array(key[order][starts] // n), pa.array(lo + key[order][starts] % n)
+                yield pa.RecordBatch.from_arrays([made.dictionary.take(terms), b.column(0).take(rows), lists(place[order][of_title], n_title), lists(place[order][~of_title], n_body), *(b.column(3 + i).take(rows) for i in range(len(keep)))], ["term", "doc_id", "title", "body", *keep])
 
     rows = docs.select("doc_id", F.lower(title_col).alias("t"), F.lower(body_col).alias("b"), *keep)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -168,6 +181,18 @@ def cover_score(clauses: list[dict], title: dict[str, list[int]], body: dict[str
     return total
 
 
+def _flat(places: pa.Array) -> tuple[list, list, tuple[list, list], tuple[list, list]]:
+    """Of lists of (term, title, body): where each list begins, the terms, and the bounds and places of all titles and bodies."""
+    some = places.flatten()
+
+    def lists(part: pa.Array) -> tuple[list, list]:
+        sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+        return np.r_[0, np.cumsum(sizes)].tolist(), part.flatten().to_numpy(zero_copy_only=False).tolist()
+
+    bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))].tolist()
+    return bounds, pc.struct_field(some, "term").to_pylist(), lists(pc.struct_field(some, "title")), lists(pc.struct_field(some, "body"))
+
+
 def search(index: Index, asked: DataFrame, limit: int | None = None, text_col: str = "query", where: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score, lexical_score) of the documents that each written query finds; with a limit, the first of each
     query and their rank, ties by id.
@@ -189,11 +214,16 @@ def search(index: Index, asked: DataFrame, limit: int | None = None, text_col: s
     met = places.unionByName(every).groupBy("query_id", "doc_id").agg(F.collect_list("p").alias("places"))  # of one document's query words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clauses: dict = {}  # of each query that the task has met
         for b in batches:
+            bounds, terms, *parts = _flat(b.column(2))
             scores = []
-            for row in b.select(["places", "clauses"]).to_pylist():
-                title, body = ({p["term"]: p[part] for p in row["places"]} for part in ("title", "body"))
-                scores.append(cover_score(row["clauses"], title, body))
+            for k, query in enumerate(b.column(0).to_pylist()):
+                if query not in clauses:
+                    clauses[query] = b.column(3)[k].as_py()
+                at = range(bounds[k], bounds[k + 1])
+                title, body = ({terms[i]: values[ends[i] : ends[i + 1]] for i in at} for ends, values in parts)
+                scores.append(cover_score(clauses[query], title, body))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["query_id", "doc_id", "score"])
 
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {of_docs.schema['doc_id'].dataType.simpleString()}, score double"

@@ -42,7 +42,7 @@ def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.expr(f"array({_KEYS})"), F.col("source").substr(4, 9).cast("int") % 7 + 1).alias("source"),
         F.col("doc_id").cast("string").alias("source_id"),
         F.concat(F.lit("type"), (F.col("doc_id") % 17).cast("string")).alias("entity_type"),
-        F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"),
+        F.array_join(F.slice(F.split("text", " ", 7), 1, 6), " ").alias("title"),
         F.col("text").alias("body"),
         F.when(F.col("doc_id") % 5 == 0, "classic").otherwise("retail").alias("game_version"),
         "lang",

@@ -101,3 +101,16 @@ def test_stems():
     assert [stem(w) for w in pairs[::2]] == pairs[1::2]
     kept = Stems(most=2)
     assert [kept[w] for w in ("running", "the", "runs", "dogs")] == ["run", "", "run", "dog"] and len(kept) <= 2 and len(STOP_WORDS) == 127
+
+
+def test_a_query_is_read_once_and_a_word_analysed_once(spark, rows, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(postings, "_analyser", lambda config: lambda word: asked.append(word) or word)
+    monkeypatch.setattr(spark.createDataFrame([(1,)], "doc_id long").__class__, "mapInArrow", lambda df, run, schema: (run, schema))
+    run, _ = postings.postings(spark.createDataFrame([], "doc_id long, title string, body string"), "simple")
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array(["a b", None, "", "b"]), pa.array(["b c b", "c a", None, "é a"])], ["doc_id", "t", "b"])
+    got = [tuple(r.values()) for b in run(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == [("a", 7, [1], []), ("a", 8, [], [2]), ("a", 10, [], [2]), ("b", 7, [2], [3, 5]), ("b", 10, [1], []), ("c", 7, [], [4]), ("c", 8, [], [1])]
+    assert sorted(asked) == ["a", "b", "c"]
