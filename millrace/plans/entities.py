@@ -57,7 +57,7 @@ _KNOWN = "known AS (SELECT *, p_partkey AS k, " + _KIND_SQL + " AS kind, p_partk
 
 
 def told(spark, sf):
-    return E.documents(E.index_ids(index_payloads(spark, sf)).join(detail_payloads(spark, sf), ["entity", "id"]))
+    return E.documents(E.named_details(E.index_ids(index_payloads(spark, sf)), detail_payloads(spark, sf)))
 
 
 @query("s06_windows", f"WITH {_KNOWN}, w AS (SELECT kind AS entity, k, (row_number() OVER (PARTITION BY kind ORDER BY k) - 1) // 96 AS batch FROM known) SELECT entity, batch, count(*) AS size, min(k) AS first_id FROM w GROUP BY ALL")

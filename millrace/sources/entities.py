@@ -113,6 +113,14 @@ def windows(ids: DataFrame, size: int = WINDOW) -> DataFrame:
     return batched(ids, "entity", "id", size)
 
 
+def named_details(ids: DataFrame, details: DataFrame) -> DataFrame:
+    """(entity, id, payload) of the details (entity, id, payload) that an index names (entity, id).
+
+    Both grow with the catalogue, and files say little about the size of what is made of them; so Spark is told
+    to merge them and not to guess that one is small enough to be broadcast."""
+    return details.join(ids.hint("merge"), ["entity", "id"], "left_semi")
+
+
 def fetched(asked: DataFrame, ask: Callable[[str, int], str | None], tries: int = 3) -> DataFrame:
     """(entity, id, payload) of windows (entity, ids), each a row of work; what still fails after ``tries`` is a null payload."""
 

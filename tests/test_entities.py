@@ -79,3 +79,13 @@ def test_payloads_are_parsed_once(spark):
     assert [(r["source_id"], r["title"], r["body"]) for r in docs.collect()] == [("1", "A", "B")]
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") == 1 or plan.count("parseJson") == 1, plan[:2000]
+
+
+def test_neither_side_of_the_catalogue_is_broadcast(spark):
+    from millrace.plans import entities
+
+    plan = entities.told(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    details = spark.createDataFrame([("pet", 1, "a"), ("pet", 2, "b"), ("mount", 1, "c")], "entity string, id long, payload string")
+    ids = spark.createDataFrame([("pet", 1), ("pet", 1), ("mount", 3)], "entity string, id long")
+    assert [tuple(r) for r in E.named_details(ids, details).collect()] == [("pet", 1, "a")]
