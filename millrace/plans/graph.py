@@ -27,8 +27,7 @@ status AS (SELECT t.char_id, t.quest_id, CASE WHEN c.quest_id IS NOT NULL THEN '
 
 
 def judged(spark, sf):
-    q, done, active = quests(spark, sf), completed(spark, sf), in_progress(spark, sf)
-    return G.statuses(G.touched(done, active, G.edges(q)), q, characters(spark, sf), done, active, any_of_groups(spark, sf))
+    return G.touched_statuses(quests(spark, sf), characters(spark, sf), completed(spark, sf), in_progress(spark, sf), any_of_groups(spark, sf))
 
 
 @query("g01_graph_edges", f"WITH {QUESTS_SQL} SELECT pre, quest_id FROM quest_edges")
@@ -66,7 +65,7 @@ def closure(spark, sf):
 
 @query("g04_status", f"WITH {_STATUS} SELECT * FROM status")
 def g04(spark, sf):
-    return judged(spark, sf)
+    return judged(spark, sf).select("char_id", "quest_id", "status")
 
 
 _AVAILABLE = f"""{_STATUS}, open AS (SELECT char_id, quest_id, quest_type, required_level, row_number() OVER (PARTITION BY char_id ORDER BY quest_type, required_level, quest_id) AS rank
