@@ -91,10 +91,7 @@ def g06(spark, sf):
   SELECT char_id, quest_id, pre AS step FROM behind UNION ALL SELECT char_id, quest_id, quest_id FROM in_progress i WHERE NOT EXISTS (FROM completed c WHERE c.char_id = i.char_id AND c.quest_id = i.quest_id)) x
   WHERE NOT EXISTS (FROM completed c WHERE c.char_id = x.char_id AND c.quest_id = x.quest_id) GROUP BY ALL""")
 def g08(spark, sf):
-    done = completed(spark, sf)
-    targets = in_progress(spark, sf).join(done, ["char_id", "quest_id"], "left_anti")
-    steps = G.missing_closure(targets, done, G.edges(quests(spark, sf))).unionByName(targets.withColumn("pre", F.col("quest_id")))
-    return steps.groupBy("char_id", "quest_id").agg(F.count("*").alias("steps"), F.min("pre").alias("first_step"))
+    return G.paths_to(in_progress(spark, sf), completed(spark, sf), G.edges(quests(spark, sf)))
 
 
 @query("g07_levels", f"""WITH RECURSIVE {QUESTS_SQL}, lv AS (SELECT quest_id, 0 AS level FROM quests UNION SELECT e.quest_id, l.level + 1 FROM lv l JOIN quest_edges e ON e.pre = l.quest_id)
